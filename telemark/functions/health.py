@@ -72,9 +72,10 @@ def mode_name(mode: Column | str) -> Column:
 def fault_names(flags: Column | str) -> Column:
     """Names of the bits that are up, ascending by bit."""
     f = col_of(flags)
-    return F.array_compact(
+    up = F.array_compact(
         F.array(*(F.when(f.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in FAULT_NAMES))
     )
+    return F.when(f.isNotNull(), up)
 
 
 def celsius(centi_c: Column | str) -> Column:

@@ -84,6 +84,11 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def whole_div(value: Column | str, divisor: int) -> Column:
+    """Integer quotient in bigint; ``/`` would go through a double."""
+    return F.call_function("div", col_of(value), F.lit(divisor).cast("bigint"))
+
+
 def unsigned(raw: Column, offset: int, size: int) -> Column:
     """Big-endian unsigned integer of up to seven bytes as bigint."""
     return F.conv(F.hex(F.substring(raw, offset + 1, size)), 16, 10).cast("bigint")

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemark.functions import wire
-from telemark.operators.scale import HOT_ROWS, attach_group_facts
+from telemark.operators.scale import attach_group_facts
 
 PACKET_KEY = ["payload_id", "boot_id", "sequence_number"]
+# Fixed value: every delivery of one listener has its authenticated peer.
+VENDOR_IDENTITY = "local-token:vendor-simulator"
 REQUEST_CONFLICT = "REQUEST_ID_REUSED_WITH_DIFFERENT_BODY"
 SEQUENCE_CONFLICT = "SEQUENCE_CONFLICT"
 
@@ -30,7 +32,7 @@ def first_of_group(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame
     )
 
 
-def request_identity(deliveries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def request_identity(deliveries: DataFrame) -> DataFrame:
     """Add ``request_state`` NEW / REPLAY / CONFLICT and ``first_delivery_id``.
 
     The first body owns a canonical request id. Deliveries without one are
@@ -43,7 +45,7 @@ def request_identity(deliveries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
         named, ["canonical_request_id"], "raw_body", "content_type"
     ).where("n > 1")
     rows = attach_group_facts(
-        rows, repeated, ["canonical_request_id"], row_id="delivery_id", hot_rows=hot_rows
+        rows, repeated, ["canonical_request_id"], row_id="delivery_id"
     )
     owner = F.col("fact.delivery_id")
     is_new = owner.isNull() | (owner == F.col("delivery_id"))
@@ -62,10 +64,10 @@ def request_identity(deliveries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     ).drop("fact")
 
 
-def identify(deliveries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def identify(deliveries: DataFrame) -> DataFrame:
     """Request identity, then the map-only decode and validation."""
     return wire.validate_frames(
-        request_identity(deliveries, hot_rows), received_us="judged_received_us"
+        request_identity(deliveries), received_us="judged_received_us"
     ).withColumn(
         "header_rejection", wire.header_rejection("judged_content_type", "request_id")
     )
@@ -113,7 +115,7 @@ def unique_packets(identified: DataFrame) -> DataFrame:
     )
 
 
-def packet_identity(identified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def packet_identity(identified: DataFrame) -> DataFrame:
     """Add ``packet_state`` PACKET / DUPLICATE / CONFLICT and ``origin_delivery_id``.
 
     Later deliveries are always compared with the first accepted bytes. A replay
@@ -126,7 +128,7 @@ def packet_identity(identified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     reaches = (F.col("request_state") != "CONFLICT") & passes_validation()
     keys = [f"_{k}" for k in PACKET_KEY]
     keyed = identified.withColumns({f"_{k}": F.when(reaches, F.col(k)) for k in PACKET_KEY})
-    rows = attach_group_facts(keyed, repeated, keys, row_id="delivery_id", hot_rows=hot_rows)
+    rows = attach_group_facts(keyed, repeated, keys, row_id="delivery_id")
     first = F.coalesce("fact.delivery_id", "first_delivery_id")
     return rows.withColumns(
         {
@@ -141,13 +143,13 @@ def packet_identity(identified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     ).drop("fact", *keys)
 
 
-def delivery_outcome(identified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def delivery_outcome(identified: DataFrame) -> DataFrame:
     """Final status, reason and response code of every delivery.
 
     A replay answers with what its first delivery became: 422 for a rejected
     one, 409 for a conflict, 200 otherwise.
     """
-    states = packet_identity(identified, hot_rows)
+    states = packet_identity(identified)
     replay = F.col("request_state") == "REPLAY"
     reused = F.col("request_state") == "CONFLICT"
     packet = F.col("packet_state")
@@ -177,7 +179,7 @@ def has_packet() -> Column:
     return F.col("origin_delivery_id").isNotNull()
 
 
-def receipts(outcome: DataFrame) -> DataFrame:
+def receipts(outcome: DataFrame, identity: str = VENDOR_IDENTITY) -> DataFrame:
     """Receipt ledger: one row per delivery that is not a replay.
 
     An accepted packet's work is queued as it is accepted, so its receipt reads
@@ -190,7 +192,7 @@ def receipts(outcome: DataFrame) -> DataFrame:
         F.col("delivery_id").alias("receipt_id"),
         F.col("request_id").alias("presented_request_id"),
         "canonical_request_id",
-        "identity",
+        F.lit(identity).alias("identity"),
         "content_type",
         "received_us",
         "raw_body",

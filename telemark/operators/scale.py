@@ -12,56 +12,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemark.functions.wire import whole_div
 from telemark.session import settle
 
-# A key with at least this many rows is hot. At most (rows / HOT_ROWS) keys can
-# be hot, so the broadcast of their facts holds 100,000 rows for 10^12 inputs.
-HOT_ROWS = 10_000_000
 # Rows of one key per ordered block.
 BLOCK_ROWS = 1 << 20
 UNBOUNDED = Window.unboundedPreceding
 
 
 def attach_group_facts(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: list[str],
-    *,
-    row_id: str,
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, facts: DataFrame, keys: list[str], *, row_id: str
 ) -> DataFrame:
     """Left join one ``fact`` struct per key onto the rows of that key.
 
-    ``facts`` holds ``keys``, the key's row count ``n`` and ``fact``. Facts of
-    hot keys are broadcast, so hot rows stay where they are; all other facts go
-    through a shuffled join. Rows with a NULL key or a hot key carry their own
-    id as an extra join column, so they spread evenly instead of meeting in one
-    reducer.
+    Rows with a NULL key have nothing to find; they carry their own id in an
+    extra join column, so they spread evenly instead of meeting in one reducer.
+
+    That column also gives both sides a shuffle of their own directly below the
+    join, which is the shape in which adaptive execution splits a hot key's rows
+    over several tasks (``spark.sql.adaptive.skewJoin``); the facts side holds
+    one row per key, so repeating it for each split is cheap. If all facts
+    together are small, adaptive execution broadcasts them by measured size.
     """
-    hot = facts.where(F.col("n") >= hot_rows).select(*keys, F.col("fact").alias("_hot"))
-    # never 0 below, and not foldable, so it stays an equi-join column
-    cold = facts.where(F.col("n") < hot_rows).select(
-        *keys, F.col("fact").alias("_cold"), F.least(F.col("n"), F.lit(-1)).alias("_spread")
-    )
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    placed = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_spread",
-        F.when(F.col("_hot").isNotNull() | no_key, F.col(row_id)).otherwise(
-            F.lit(-1).cast("bigint")
-        ),
-    )
-    return (
-        placed.join(cold, [*keys, "_spread"], "left")
-        .withColumn("fact", F.coalesce("_hot", "_cold"))
-        .drop("_hot", "_cold", "_spread")
+    placed = rows.withColumn(
+        "_spread", F.when(no_key, F.col(row_id)).otherwise(F.lit(-1).cast("bigint"))
     )
+    # always -1, but not foldable, so it stays an equi-join column
+    spread = F.least(F.col("n"), F.lit(-1).cast("bigint"))
+    found = facts.select(*keys, "fact", spread.alias("_spread"))
+    return placed.join(found, [*keys, "_spread"], "left").drop("_spread")
 
 
 def block_of(order: Column | str, block_rows: int = BLOCK_ROWS) -> Column:
-    order = F.col(order) if isinstance(order, str) else order
-    return F.floor(order / F.lit(block_rows)).cast("bigint")
+    return whole_div(order, block_rows)
 
 
 def blocked_row_number(

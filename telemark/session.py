@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,21 +32,30 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a DataFrame once to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one is
+    chosen only where none is set, which a cluster refuses."""
+    context = spark.sparkContext
+    folder = (
+        context.getCheckpointDir()
+        or context.getConf().get(CHECKPOINT_DIR)
+        or spark.conf.get(CHECKPOINT_DIR, None)
+    )
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="telemark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write a DataFrame once as a table in the shared folder and read it back.
 
     Used where several branches read the same shuffled result: each branch then
-    scans a narrow file set instead of repeating the upstream joins, and a lost
-    executor costs a re-read only. The folder is the cluster's own
-    ``spark.checkpoint.dir``; a private one is chosen only where none is set.
+    scans the columns it needs instead of repeating the upstream joins, and a
+    lost executor costs a re-read only.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="telemark-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,6 @@ from telemark.session import use_utc
 
 SHIFT_US = 731 * 86400000000  # 2024-01-01 becomes 2026-01-01
 SECOND_US = 1000000
-IDENTITY = "local-token:vendor-simulator"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(every(37), long(2)).otherwise(long(1)).alias("protocol_version"),
         F.when(every(41), long(2)).otherwise(long(1)).alias("payload_id"),
         F.when(every(43), long(0)).otherwise(F.col("user_id") + 1).alias("boot_id"),
-        (F.col("rn") + F.floor(F.col("rn") / 7)).cast("bigint").alias("sequence_number"),
+        (F.col("rn") + wire.whole_div("rn", 7)).alias("sequence_number"),
         F.when(every(47), sample - 1000 * 86400 * SECOND_US)
         .when(every(53), sample + (delay + 600) * SECOND_US)
         .otherwise(sample)
@@ -114,7 +113,6 @@ def delivery_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ),
                     ),
                 ),
-                "identity": F.lit(IDENTITY),
             }
         )
     )
@@ -136,7 +134,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         wire.encode(delivery_frames(spark, sf_dir), "encoded"), intact=F.col("encoded")
     )
     return wire.compute_once(encoded, raw_body=damaged).select(
-        "delivery_id", "received_us", "request_id", "content_type", "identity", "raw_body"
+        "delivery_id", "received_us", "request_id", "content_type", "raw_body"
     )
 
 
@@ -177,7 +175,7 @@ def jobs(packets: DataFrame, backlog: bool = False) -> DataFrame:
     """One job per accepted packet. In the backlog variant every 50th event's
     job (remainder 5) is queued and the one 25 later is still pending, both
     without attempts."""
-    e = F.floor(F.col("delivery_id") / 8)
+    e = wire.whole_div("delivery_id", 8)
     pending = (e % 50 == 30) if backlog else F.lit(False)
     return packets.select(
         F.concat(F.lit(JOB_PREFIX), "packet_id").alias("job_id"),
@@ -185,7 +183,7 @@ def jobs(packets: DataFrame, backlog: bool = False) -> DataFrame:
         F.col("received_us").alias("created_us"),
         F.when(~pending, F.col("received_us")).alias("queued_us"),
         F.lit(3).alias("max_attempts"),
-        e.cast("bigint").alias("e"),
+        e.alias("e"),
     )
 
 
@@ -232,7 +230,7 @@ def legacy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(
         "e",
         "apid",
-        (F.col("n") + F.floor(F.col("n") / 9)).cast("bigint").bitwiseAND(
+        (F.col("n") + wire.whole_div("n", 9)).bitwiseAND(
             F.lit(legacy_wire.MAX_SEQUENCE)
         ).alias("sequence_count"),
         (F.col("sample_us") * 1000).alias("timestamp_ns"),
@@ -339,3 +337,69 @@ def command_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("intact"))
         .alias("raw_command"),
     )
+
+
+def command_acks(validated: DataFrame, packet_acks: DataFrame) -> DataFrame:
+    """Acknowledgements of live commands at +2 s for even ids (status 1 for
+    every fifth), together with those decoded from packets."""
+    sent = validated.where(
+        (F.col("result") == "accepted") & ~F.col("dry_run") & every(2, "id")
+    ).select(
+        F.col("id").alias("command_id"),
+        F.when(every(5, "id"), 1).otherwise(0).cast("bigint").alias("status"),
+        (F.col("id") % 100).alias("applied_value"),
+        (F.col("created_us") + 2 * SECOND_US).alias("at_us"),
+        (F.col("id") * 2 + 1).alias("ack_no"),
+    )
+    return sent.unionByName(
+        packet_acks.select(
+            "command_id", "status", "applied_value",
+            wire.whole_div("received_ns", 1000).alias("at_us"),
+            (F.col("packet_no") * 2).alias("ack_no"),
+        )
+    )
+
+
+def command_events(validated: DataFrame, acks: DataFrame) -> DataFrame:
+    """Dispatch results of live commands and the updates their acks cause."""
+    failed = every(19, "id")
+    dispatched = validated.where((F.col("result") == "accepted") & ~F.col("dry_run")).select(
+        F.col("id").alias("command_id"),
+        F.lit(0).cast("bigint").alias("event_order"),
+        (F.col("created_us") + SECOND_US).alias("at_us"),
+        F.lit(legacy_wire.SUBJECT_STATUS).alias("subject"),
+        F.when(failed, "DISPATCH_ERROR").otherwise("DISPATCHED").alias("status"),
+        F.when(failed, "send failed").otherwise("UDP target spacecraft:5006").alias("detail"),
+    )
+    return dispatched.unionByName(
+        acks.select(
+            "command_id",
+            F.lit(1).cast("bigint").alias("event_order"),
+            "at_us",
+            F.lit(legacy_wire.SUBJECT_ACK).alias("subject"),
+            F.when(F.col("status") == 0, "ACKED").otherwise("REJECTED").alias("status"),
+            F.concat(
+                F.lit("spacecraft applied_value="), F.col("applied_value").cast("string")
+            ).alias("detail"),
+        )
+    )
+
+
+def damaged_envelopes(envelopes: DataFrame) -> DataFrame:
+    """Health envelopes, some cut short and some with a field renamed."""
+    return envelopes.where(F.col("subject") == legacy_wire.SUBJECT_HEALTH).select(
+        "packet_no",
+        "subject",
+        F.when(every(97, "packet_no"), F.substring("value", 1, 60))
+        .when(every(101, "packet_no"), F.replace("value", F.lit('"mode"'), F.lit('"mod"')))
+        .otherwise(F.col("value"))
+        .alias("value"),
+    )
+
+
+def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).where((F.col("event_type") == "error") & every(31)).select(
+        F.lit("limit").alias("topic"),
+        F.col("e").alias("packet_no"),
+        F.to_json(F.struct(F.lit("INFO").alias("severity"), F.col("e").alias("ref"))).alias("payload"),
+    )

@@ -12,7 +12,7 @@ def _schema(ddl: str) -> T.StructType:
 
 DELIVERY = _schema(
     "delivery_id bigint, received_us bigint, request_id string, content_type string, "
-    "identity string, raw_body binary"
+    "raw_body binary"
 )
 BOUNDARY_ATTEMPT = _schema(
     "attempt_id bigint, received_us bigint, request_id string, token_ok boolean, "
