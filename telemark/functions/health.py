@@ -48,7 +48,9 @@ def fault_class(flags: Column | str) -> Column:
 
 
 def freshness(timestamp_us: Column | str, received_us: Column | str) -> Column:
-    age = col_of(received_us) - col_of(timestamp_us)
+    sample = col_of(timestamp_us)
+    # an unsigned wire time of 2^63 or more reads negative and lies ahead
+    age = F.when(sample >= 0, col_of(received_us) - sample)
     return F.when(age > STALE_AFTER_US, "STALE").otherwise("CURRENT")
 
 

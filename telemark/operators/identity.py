@@ -149,7 +149,11 @@ def delivery_outcome(identified: DataFrame) -> DataFrame:
     A replay answers with what its first delivery became: 422 for a rejected
     one, 409 for a conflict, 200 otherwise.
     """
-    states = packet_identity(identified)
+    return with_outcome(packet_identity(identified))
+
+
+def with_outcome(states: DataFrame) -> DataFrame:
+    """Status, reason and response code from request and packet state; map-only."""
     replay = F.col("request_state") == "REPLAY"
     reused = F.col("request_state") == "CONFLICT"
     packet = F.col("packet_state")

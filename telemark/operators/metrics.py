@@ -86,7 +86,11 @@ def status_breakdown(receipts: DataFrame) -> DataFrame:
 def latency_histogram(samples: DataFrame) -> DataFrame:
     """Cumulative buckets, sum and count of receipt minus sample time, never
     below zero. One aggregate; the buckets are its columns turned to rows."""
-    latency = F.greatest(F.col("received_ns") - F.col("timestamp_ns"), F.lit(0))
+    # an unsigned sample time of 2^63 or more reads negative and lies ahead
+    sample = F.col("timestamp_ns")
+    latency = F.when(sample < 0, F.lit(0)).otherwise(
+        F.greatest(F.col("received_ns") - sample, F.lit(0))
+    )
     aggregates = [
         F.count_if(latency <= bound * 1000000).alias(f"le_{bound}") for bound in LATENCY_BOUNDS_MS
     ]

@@ -6,65 +6,78 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "binary": T.BinaryType(),
+    "boolean": T.BooleanType(),
+    "double": T.DoubleType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """``name type, name type``; unlike the DDL parser it needs no session."""
+    fields = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
-DELIVERY = _schema(
+DELIVERY = struct(
     "delivery_id bigint, received_us bigint, request_id string, content_type string, "
     "raw_body binary"
 )
-BOUNDARY_ATTEMPT = _schema(
+BOUNDARY_ATTEMPT = struct(
     "attempt_id bigint, received_us bigint, request_id string, token_ok boolean, "
     "declared_length string, raw_body binary"
 )
-RECEIPT = _schema(
+RECEIPT = struct(
     "receipt_id bigint, presented_request_id string, canonical_request_id string, "
     "identity string, content_type string, received_us bigint, raw_body binary, "
     "raw_body_size int, body_sha256 string, validation_status string, rejection_reason string, "
     "parsed_identifiers string, duplicate_of_receipt_id bigint, logical_packet_id string, "
     "queue_status string"
 )
-REQUEST_IDENTITY = _schema(
+REQUEST_IDENTITY = struct(
     "request_id string, first_receipt_id bigint, body_sha256 string, created_us bigint"
 )
-PACKET = _schema(
+PACKET = struct(
     "packet_id string, source_receipt_id bigint, received_us bigint, protocol_version bigint, "
     "payload_id bigint, boot_id bigint, sequence_number bigint, timestamp_us bigint, "
     "temperature_centi_c bigint, voltage_mv bigint, operating_mode bigint, fault_flags bigint, "
     "raw_sha256 string, sequence_disposition string, missing_before bigint"
 )
-SEQUENCE_STATE = _schema(
+SEQUENCE_STATE = struct(
     "payload_id bigint, boot_id bigint, high_water_sequence bigint, "
     "accepted_packet_count bigint, missing_packet_count bigint, last_high_water_packet_id string"
 )
-JOB = _schema(
+JOB = struct(
     "job_id string, packet_id string, created_us bigint, queued_us bigint, max_attempts int"
 )
-ATTEMPT = _schema(
+ATTEMPT = struct(
     "job_id string, packet_id string, attempt_no int, ended_us bigint, outcome string, error string"
 )
-PROCESSED = _schema(
+PROCESSED = struct(
     "packet_id string, job_id string, temperature_c double, voltage_v double, "
     "operating_mode string, fault_names array<string>, classification string, "
     "is_stale boolean, processor_version string, processed_us bigint"
 )
-AUDIT = _schema(
+AUDIT = struct(
     "event_id string, occurred_us bigint, service_name string, event_name string, "
     "actor_identity string, outcome string, reason string, receipt_id bigint, "
     "packet_id string, job_id string, event_data string"
 )
-LEGACY_PACKET = _schema(
+LEGACY_PACKET = struct(
     "packet_no bigint, received_ns bigint, source string, raw_packet binary"
 )
-HEALTH_DATA = _schema(
+HEALTH_DATA = struct(
     "timestamp_ns bigint, bus_voltage_v double, battery_temp_c double, wheel_rpm bigint, "
     "mode bigint, fault_flags bigint"
 )
-ACK_DATA = _schema("command_id bigint, status bigint, applied_value bigint, timestamp_ns bigint")
-ENVELOPE_TEXT = _schema("subject string, packet_no bigint, value string")
-COMMAND = _schema("id bigint, created_us bigint, name string, argument bigint, dry_run boolean")
-COMMAND_EVENT = _schema(
+ACK_DATA = struct("command_id bigint, status bigint, applied_value bigint, timestamp_ns bigint")
+ENVELOPE_TEXT = struct("subject string, packet_no bigint, value string")
+COMMAND = struct("id bigint, created_us bigint, name string, argument bigint, dry_run boolean")
+COMMAND_EVENT = struct(
     "command_id bigint, event_order bigint, at_us bigint, subject string, status string, "
     "detail string"
 )
