@@ -145,7 +145,7 @@ _SCRATCH = ("_w0", "_w1", "_w2", "_w3", "_size", "_version")
 def wire_timestamp(timestamp_us: Column | str) -> Column:
     value = col_of(timestamp_us)
     wide = value.cast("decimal(20,0)")
-    return F.when(value < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide).cast(
+    return F.when(value < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast(
         "decimal(20,0)"
     )
 
