@@ -79,7 +79,7 @@ def security_rejected(t):
 
 @query
 def audit_events(t):
-    return t.audit().drop("event_data")
+    return t.audit_history().drop("event_data")
 
 
 def _earlier_results(t):
@@ -439,7 +439,7 @@ def queue_depth(t):
 
 @query
 def job_status(t):
-    return t.job_status(backlog=True)
+    return jobs.job_status(t.jobs(backlog=True), t.attempts(backlog=True))
 
 
 @query

@@ -88,18 +88,26 @@ class Tables:
         return sample.attempts(self.jobs(backlog), backlog)
 
     def job_status(self, backlog: bool = False) -> DataFrame:
-        return jobs.job_status(self.jobs(backlog), self.attempts(backlog))
+        return self._written(
+            "backlog_jobs" if backlog else "jobs",
+            lambda: jobs.job_status(self.jobs(backlog), self.attempts(backlog)),
+        )
 
     def processed(self) -> DataFrame:
-        return results.stored_results(self.packets(), self.job_status())
+        return self._written(
+            "processed", lambda: results.stored_results(self.packets(), self.job_status())
+        )
 
-    def audit(self) -> DataFrame:
+    def audit_history(self) -> DataFrame:
         return audit.audit_history(
             audit.delivery_events(self.outcome(), self.disposed()),
             audit.work_events(self.attempts()),
             audit.boundary_events(self.boundary()),
         )
 
+    def audit(self) -> DataFrame:
+        return self._written("audit", self.audit_history)
+
     # -- legacy ---------------------------------------------------------------
 
     def health_samples(self) -> DataFrame:
