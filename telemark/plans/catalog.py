@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemark.functions import health, legacy_wire, wire
+from telemark.functions import command_wire, health, legacy_wire, wire
 from telemark.operators import (
     audit, commands, identity, jobs, legacy, metrics, quality, results, sequence, topk,
 )
+from telemark.operators import command_history as command_history_
 from telemark.plans.tables import Tables
-from telemark.sources import sample
+from telemark.sources import command_sample, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -682,3 +683,77 @@ def codec_round_trip(t):
         F.sum("wheel_rpm").alias("sum_rpm"),
         F.sum("mode").alias("sum_mode"),
     )
+
+
+# -- version 1 commands and acknowledgements -----------------------------------
+
+
+@query
+def command_frame_v1(t):
+    decoded = command_wire.decode_commands(t.command_frames_v1())
+    return decoded.withColumn(
+        "clock_rejection",
+        F.when(
+            F.col("frame_rejection").isNull(),
+            command_wire.clock_rejection("issued_us", "expires_us", "at_us"),
+        ),
+    ).drop("raw_command", "at_us")
+
+
+@query
+def ack_frame_v1(t):
+    return command_wire.decode_acks(t.ack_deliveries()).drop("raw_ack")
+
+
+def _identified_acks(t):
+    decoded = command_wire.decode_acks(t.ack_deliveries())
+    return command_history_.ack_identity(decoded)
+
+
+@query
+def ack_identity(t):
+    return _identified_acks(t).select("delivery_id", "ack_state", "origin_delivery_id")
+
+
+@query
+def ack_sequence(t):
+    return sequence.sequence_disposition(_identified_acks(t).where("ack_state = 'ACK'"))
+
+
+@query
+def ack_correlation(t):
+    saved = command_sample.issued_commands(t.spark, t.sf_dir)
+    unique = _identified_acks(t).where("ack_state = 'ACK'")
+    return command_history_.correlate_acks(unique, saved).select(
+        "delivery_id", "command_id", "correlation",
+        command_wire.ack_name("ack_type").alias("ack_name"),
+        command_wire.reason_name("reason_code").alias("reason"),
+    )
+
+
+@query
+def command_history(t):
+    events = t.state_events()
+    return command_history_.command_history(events)
+
+
+@query
+def illegal_transitions(t):
+    events = t.state_events()
+    history = command_history_.command_history(events)
+    return command_history_.illegal_events(events, history)
+
+
+@query
+def command_deadlines(t):
+    history = command_history_.command_history(t.state_events())
+    saved = command_sample.issued_commands(t.spark, t.sf_dir)
+    return command_history_.missed_deadlines(history, saved, AS_OF_US)
+
+
+@query
+def operator_idempotency(t):
+    requests = t.operator_requests()
+    return command_history_.operator_idempotency(requests).select(
+        "request_no", "intent", "first_request_no"
+    )

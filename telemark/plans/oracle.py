@@ -857,3 +857,151 @@ ORACLES: dict[str, str] = {
         sum(mv)::BIGINT AS sum_mv, sum(mv - 15000)::BIGINT AS sum_centi_c, sum(mv*3 - 45000)::BIGINT AS sum_rpm,
         sum(n % 4)::BIGINT AS sum_mode FROM x""",
 }
+
+# -- version 1 commands and acknowledgements (FIXTURES.md B.6) ------------------
+
+
+def _uuid_sql(number: str, tail: int) -> str:
+    return f"printf('%08x-0000-4000-8000-%012x', {number}, {tail}::BIGINT)"
+
+
+V1_COMMANDS = f"""
+ic AS (
+  SELECT event_id AS e, event_type, {_uuid_sql('event_id', 7)} AS command_id,
+    (CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END)::BIGINT AS opcode,
+    epoch_us(ts) + 731::BIGINT * {DAY_US} AS issued_us,
+    CASE WHEN event_type='click' THEN 30 ELSE 10 END * 1000000::BIGINT AS life_us,
+    CASE WHEN event_type='click' THEN event_id%3 END AS argument
+  FROM events WHERE event_id > 0 AND event_type IN ('click','purchase','view')),
+cf AS (
+  SELECT *, e%31<>0 AS whole, (CASE WHEN e%37=0 THEN 2 ELSE 1 END) AS version,
+    (CASE WHEN e%47=0 THEN 2 ELSE 1 END)::BIGINT AS payload_id, (CASE WHEN e%53=0 THEN 9 ELSE opcode END)::BIGINT AS op,
+    (CASE WHEN e%59=0 THEN 2 WHEN argument IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS arg_len,
+    (CASE WHEN e%43=0 THEN 1 ELSE 0 END)::BIGINT AS reserved,
+    CASE WHEN e%67=0 THEN issued_us ELSE issued_us + life_us END AS expires_us,
+    CASE WHEN e%61=0 AND argument IS NOT NULL THEN 7 ELSE argument END AS arg,
+    issued_us + (CASE WHEN e%73=0 THEN 45 WHEN e%79=0 THEN -3 ELSE 1 END) * 1000000::BIGINT AS at_us
+  FROM ic),
+cg AS (
+  SELECT *, CASE WHEN version<>1 THEN 'UNSUPPORTED_PROTOCOL_VERSION' WHEN NOT whole THEN 'INVALID_FRAME_LENGTH'
+      WHEN e%29=0 THEN 'CRC_MISMATCH' WHEN e%41=0 THEN 'INVALID_FRAME_TYPE' WHEN reserved<>0 THEN 'RESERVED_BYTE_SET'
+      WHEN payload_id<>1 THEN 'WRONG_PAYLOAD_ID' WHEN op=9 THEN 'UNKNOWN_OPCODE'
+      WHEN e%59=0 THEN 'INVALID_ARGUMENT_LENGTH' WHEN arg > 2 THEN 'INVALID_ARGUMENT_VALUE'
+      WHEN e%67=0 THEN 'INVALID_EXPIRY' END AS frame_rejection
+  FROM cf)"""
+
+V1_ACKS = V1_COMMANDS + f""",
+av AS (
+  SELECT e, k, opcode, issued_us, e*4 + k AS ack_no, e%29=0 AS orphan,
+    CASE WHEN e%29=0 THEN {_uuid_sql('e', 9)} ELSE command_id END AS command_id,
+    (CASE WHEN e%7=0 AND k=2 THEN 3 WHEN k=2 THEN 4 ELSE k+1 END)::BIGINT AS ack_type,
+    (CASE WHEN e%7=0 AND k=2 THEN CASE WHEN e%2=0 THEN 10 ELSE 7 END ELSE 0 END)::BIGINT AS reason_code,
+    e%5 + 1 AS boot_id,
+    issued_us + (CASE WHEN e%17=0 AND k=2 THEN 60 ELSE k+1 END) * 1000000::BIGINT AS event_us
+  FROM ic JOIN (VALUES (0),(1),(2)) s(k) ON k=0 OR (k=1 AND e%13<>0 AND e%11<>0) OR (k=2 AND e%13<>0)),
+ar AS (SELECT *, row_number() OVER (PARTITION BY boot_id ORDER BY ack_no) - 1 AS rn FROM av),
+ad AS (
+  SELECT ar.*, copy, rn + rn // 9 AS sequence_number, ack_no*4 + copy AS delivery_id,
+    event_us + (CASE copy WHEN 1 THEN 30 WHEN 2 THEN 40 ELSE 0 END) * 1000000::BIGINT AS received_us,
+    event_us + (CASE WHEN copy=2 THEN 1 ELSE 0 END) AS sent_us,
+    CASE WHEN ack_no%31=0 THEN opcode%3 + 1 ELSE opcode END AS op,
+    (CASE WHEN ack_no%37=0 THEN 99 ELSE reason_code END)::BIGINT AS rcode
+  FROM ar JOIN (VALUES (0),(1),(2)) c(copy) ON copy=0 OR (copy=1 AND ack_no%17=0) OR (copy=2 AND ack_no%19=0)),
+an AS (
+  SELECT *, CASE WHEN ack_no%23=0 THEN 'CRC_MISMATCH' WHEN ack_no%37=0 THEN 'INVALID_REASON_CODE' END AS frame_rejection FROM ad),
+ai AS (
+  SELECT *, first_value(delivery_id) OVER w AS origin, first_value(sent_us) OVER w AS first_sent
+  FROM an WHERE frame_rejection IS NULL
+  WINDOW w AS (PARTITION BY boot_id, sequence_number ORDER BY received_us, delivery_id)),
+au1 AS (SELECT * FROM ai WHERE delivery_id = origin)"""
+
+V1_EVENTS = V1_ACKS + """,
+se AS (
+  SELECT command_id, e*16 + k AS event_no, issued_us AS at_us, event, NULL::VARCHAR AS reason
+  FROM ic, (VALUES (0,'VALIDATED'),(1,'QUEUED'),(2,'SENT')) g(k, event)
+  UNION ALL SELECT command_id, e*16 + 5, issued_us, 'SENT', NULL FROM ic WHERE (e*16 + 2)%3=0
+  UNION ALL SELECT command_id, e*16 + 8 + k, event_us, ['RECEIVED','ACCEPTED','REJECTED','EXECUTED'][ack_type],
+    CASE reason_code WHEN 10 THEN 'EXECUTION_ABORTED' WHEN 7 THEN 'MODE_INHIBIT' END FROM av WHERE NOT orphan
+  UNION ALL SELECT command_id, e*16 + 6 + k, issued_us + 6000000, event, NULL
+    FROM ic, (VALUES (0,'TIMED_OUT'),(1,'UNKNOWN')) g(k, event) WHERE e%17=0),
+sl AS (
+  SELECT command_id, list({'n': event_no, 't': at_us, 'e': event, 'r': coalesce(reason, '')} ORDER BY event_no) AS evs
+  FROM se GROUP BY command_id),
+-- the path as text: state@event@time;...
+sw AS (
+  SELECT command_id, list_reduce(list_prepend('CREATED@-1@0',
+      list_transform(evs, lambda x: x.e || '@' || x.n || '@' || x.t || '@' || x.r)),
+    lambda acc, x: CASE WHEN
+      list_contains(CASE split_part(split_part(acc, ';', -1), '@', 1)
+        WHEN 'CREATED' THEN ['VALIDATED'] WHEN 'VALIDATED' THEN ['QUEUED'] WHEN 'QUEUED' THEN ['SENT']
+        WHEN 'SENT' THEN ['RECEIVED','ACCEPTED','EXECUTED','REJECTED','TIMED_OUT']
+        WHEN 'RECEIVED' THEN ['ACCEPTED','EXECUTED','REJECTED','TIMED_OUT']
+        WHEN 'ACCEPTED' THEN ['EXECUTED','REJECTED','TIMED_OUT'] WHEN 'TIMED_OUT' THEN ['UNKNOWN']
+        WHEN 'UNKNOWN' THEN (CASE WHEN split_part(x, '@', 4)='EXECUTION_ABORTED' THEN ['EXECUTED']
+          ELSE ['EXECUTED','REJECTED'] END)
+        ELSE ['-'] END, split_part(x, '@', 1)) THEN acc || ';' || x ELSE acc END) AS path FROM sl),
+sp AS (SELECT command_id, unnest(string_split(path, ';')) AS x, generate_subscripts(string_split(path, ';'), 1) AS i FROM sw),
+sh0 AS (
+  SELECT command_id, split_part(x, '@', 2)::BIGINT AS event_no, split_part(x, '@', 3)::BIGINT AS at_us,
+    split_part(x, '@', 1) AS to_state, i FROM sp),
+sh1 AS (
+  SELECT *, lag(to_state) OVER w AS from_state, lead(at_us) OVER w AS next_us FROM sh0
+  WINDOW w AS (PARTITION BY command_id ORDER BY i)),
+sh AS (SELECT * FROM sh1 WHERE event_no >= 0)"""
+
+_cmd = lambda c: f"CASE WHEN whole THEN {c} END"
+
+ORACLES |= {
+    "command_frame_v1": with_(
+        V1_COMMANDS,
+        f"""SELECT e AS frame_no, {_cmd('command_id')} AS command_id, {_cmd('payload_id')} AS payload_id, {_cmd('op')} AS opcode,
+          {_cmd('arg_len')} AS argument_length, {_cmd('reserved')} AS reserved, {_cmd('issued_us')} AS issued_us,
+          {_cmd('expires_us')} AS expires_us, {_cmd('arg')} AS argument, frame_rejection,
+          CASE WHEN frame_rejection IS NULL THEN CASE WHEN issued_us > at_us + 2000000 THEN 'CLOCK_SKEW'
+            WHEN at_us > expires_us + 2000000 THEN 'COMMAND_EXPIRED' END END AS clock_rejection FROM cg""",
+    ),
+    "ack_frame_v1": with_(
+        V1_ACKS,
+        """SELECT delivery_id, received_us, command_id, 1::BIGINT AS payload_id, op AS opcode, ack_type, 0::BIGINT AS reserved,
+          rcode AS reason_code, boot_id, sequence_number, sent_us AS event_us, frame_rejection FROM an""",
+    ),
+    "ack_identity": with_(
+        V1_ACKS,
+        """SELECT delivery_id, CASE WHEN delivery_id=origin THEN 'ACK' WHEN sent_us=first_sent THEN 'DUPLICATE'
+          ELSE 'ACK_SEQUENCE_CONFLICT' END AS ack_state, origin AS origin_delivery_id FROM ai""",
+    ),
+    "ack_sequence": with_(
+        V1_ACKS + """, q AS (SELECT *, max(sequence_number) OVER (PARTITION BY boot_id ORDER BY received_us, delivery_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM au1)""",
+        """SELECT 1::BIGINT AS payload_id, boot_id, sequence_number, received_us, delivery_id,
+          CASE WHEN h IS NULL THEN 'FIRST' WHEN sequence_number=h+1 THEN 'IN_ORDER' WHEN sequence_number>h THEN 'GAP'
+            ELSE 'LATE' END AS sequence_disposition,
+          CASE WHEN h IS NULL THEN sequence_number WHEN sequence_number>h THEN sequence_number-h-1 ELSE 0 END AS missing_before,
+          CASE WHEN sequence_number>h THEN h END AS high_water_before FROM q""",
+    ),
+    "ack_correlation": with_(
+        V1_ACKS,
+        """SELECT delivery_id, command_id, CASE WHEN orphan THEN 'ORPHAN' WHEN op=opcode THEN 'MATCHED' ELSE 'MISMATCHED' END AS correlation,
+          ['RECEIVED','ACCEPTED','REJECTED','EXECUTED'][ack_type] AS ack_name,
+          CASE rcode WHEN 0 THEN 'NONE' WHEN 7 THEN 'MODE_INHIBIT' WHEN 10 THEN 'EXECUTION_ABORTED' END AS reason FROM au1""",
+    ),
+    "command_history": with_(V1_EVENTS, "SELECT command_id, event_no, at_us, from_state, to_state FROM sh"),
+    "illegal_transitions": with_(
+        V1_EVENTS, "SELECT * FROM se WHERE event_no NOT IN (SELECT event_no FROM sh)"
+    ),
+    "command_deadlines": with_(
+        V1_EVENTS + """, dd AS (
+          SELECT sh.command_id, to_state AS last_state, coalesce(next_us, 1769904000000000) AS next_us,
+            at_us + 1000000::BIGINT * CASE WHEN to_state IN ('SENT','RECEIVED') THEN 5
+              WHEN to_state='ACCEPTED' THEN CASE opcode WHEN 1 THEN 10 WHEN 2 THEN 30 ELSE 5 END END AS deadline_us
+          FROM sh JOIN ic ON ic.command_id = sh.command_id)""",
+        """SELECT command_id, last_state, deadline_us, last_state AS from_state, 'TIMED_OUT' AS to_state FROM dd WHERE next_us > deadline_us
+        UNION ALL SELECT command_id, last_state, deadline_us, 'TIMED_OUT', 'UNKNOWN' FROM dd WHERE next_us > deadline_us""",
+    ),
+    "operator_idempotency": """WITH c AS (
+        SELECT event_id*4 + copy AS request_no, event_id AS e, copy FROM events JOIN (VALUES (0),(1),(2)) k(copy)
+          ON copy=0 OR (copy=1 AND event_id%5=0) OR (copy=2 AND event_id%7=0)
+        WHERE event_id > 0 AND event_type='click')
+      SELECT request_no, CASE copy WHEN 0 THEN 'NEW' WHEN 1 THEN 'REPLAY' ELSE 'CONFLICT' END AS intent,
+        e*4 AS first_request_no FROM c""",
+}

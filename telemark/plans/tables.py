@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from telemark.operators import audit, identity, jobs, legacy, results, sequence
 from telemark.session import settle, use_utc
-from telemark.sources import sample
+from telemark.sources import command_sample, sample
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -115,3 +115,20 @@ class Tables:
 
     def commands(self) -> DataFrame:
         return sample.commands(self.spark, self.sf_dir)
+
+    # -- version 1 commands ---------------------------------------------------
+
+    def _landed(self, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+        return self._written(build.__name__, lambda: build(self.spark, self.sf_dir))
+
+    def command_frames_v1(self) -> DataFrame:
+        return self._landed(command_sample.command_frames)
+
+    def ack_deliveries(self) -> DataFrame:
+        return self._landed(command_sample.ack_deliveries)
+
+    def state_events(self) -> DataFrame:
+        return self._landed(command_sample.state_events)
+
+    def operator_requests(self) -> DataFrame:
+        return self._landed(command_sample.operator_requests)
