@@ -20,15 +20,15 @@ REQUEST_CONFLICT = "REQUEST_ID_REUSED_WITH_DIFFERENT_BODY"
 SEQUENCE_CONFLICT = "SEQUENCE_CONFLICT"
 
 
-def arrival() -> Column:
-    return F.struct("received_us", "delivery_id")
-
-
 def first_of_group(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame:
-    """Row count ``n`` and the first arrival's columns as ``fact``, per key."""
+    """Row count ``n`` and the first arrival's columns as ``fact``, per key.
+
+    The struct's minimum is decided by receipt time and delivery id, which is
+    unique, so the carried columns are never compared.
+    """
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("received_us", "delivery_id", *carried), arrival()).alias("fact"),
+        F.min(F.struct("received_us", "delivery_id", *carried)).alias("fact"),
     )
 
 
@@ -39,7 +39,9 @@ def request_identity(deliveries: DataFrame) -> DataFrame:
     always NEW. A replay is judged by its first delivery, so that delivery's
     content type and receipt time come along as ``judged_*``.
     """
-    rows = deliveries.withColumn("canonical_request_id", wire.canonical_request_id("request_id"))
+    rows = wire.compute_once(
+        deliveries, canonical_request_id=wire.canonical_request_id("request_id")
+    )
     named = rows.where(F.col("canonical_request_id").isNotNull())
     repeated = first_of_group(
         named, ["canonical_request_id"], "raw_body", "content_type"

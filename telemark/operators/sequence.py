@@ -8,7 +8,7 @@ arrival-ordered pass: a packet is late exactly when some packet with a larger
 sequence number arrived before it, and H is the next lower packet that is not
 late. Both look along the *sequence* axis, where numbers are unique, so fixed
 blocks of it hold a bounded number of rows however large the session is (at
-most 4,096 blocks of 2^20). Each block needs two carries: the earliest arrival
+most 16,384 blocks of 2^18). Each block needs two carries: the earliest arrival
 in higher blocks and the last advancing number in lower blocks.
 
 Sessions that do span 2^31 or more take the exact fold, in slices of arrival
@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.functions import wire
-from telemark.operators.scale import BLOCK_ROWS, UNBOUNDED, block_of, ranged_slices
+from telemark.operators.scale import UNBOUNDED, block_of, ranged_slices
 from telemark.session import settle
 
 SESSION = ["payload_id", "boot_id"]
+BLOCK_NUMBERS = 1 << 18
 MODULUS = 1 << 32
 HALF_RANGE = 1 << 31
 KEPT = [*SESSION, "sequence_number", "received_us", "delivery_id"]
@@ -207,7 +208,7 @@ def _disposition() -> dict[str, Column]:
 def sequence_disposition(
     packets: DataFrame,
     *,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_NUMBERS,
     slices: int | None = None,
     settled: bool = False,
 ) -> DataFrame:
