@@ -65,6 +65,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.sql.files.minPartitionNum": cpus,
             "spark.sql.files.openCostInBytes": "0",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
             "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -61,30 +61,24 @@ def decode_packets(df: DataFrame, raw: str = "raw_packet") -> DataFrame:
     )
     head, packet_size = F.col("_head"), F.col("packet_size")
     payload_size = packet_size - (HEADER_SIZE + CRC_SIZE)
-    apid = F.col("apid")
-    return (
-        read.withColumns(
-            {
-                "packet_version": bits(head, 45, 3),
-                "packet_type": bits(head, 44, 1),
-                "apid": bits(head, 32, 11),
-                "sequence_count": bits(head, 16, 14),
-                "data_length": bits(head, 0, 16),
-            }
-        )
-        .withColumn(
-            "packet_rejection",
-            first_broken(
-                (packet_size < HEADER_SIZE + CRC_SIZE + 1, "PACKET_TOO_SHORT"),
-                (packet_size != F.col("data_length") + (HEADER_SIZE + 1), "LENGTH_MISMATCH"),
-                (F.col("_stored") != F.col("_computed"), "CRC_MISMATCH"),
-                (F.col("packet_version") != 0, "UNSUPPORTED_PACKET_VERSION"),
-                ((apid == APID_HEALTH) & (payload_size != HEALTH_SIZE), "INVALID_HEALTH_LENGTH"),
-                ((apid == APID_COMMAND_ACK) & (payload_size != ACK_SIZE), "INVALID_ACK_LENGTH"),
-            ),
-        )
-        .drop("_head", "_stored", "_computed")
+    version, apid, length = bits(head, 45, 3), bits(head, 32, 11), bits(head, 0, 16)
+    rejection = first_broken(
+        (packet_size < HEADER_SIZE + CRC_SIZE + 1, "PACKET_TOO_SHORT"),
+        (packet_size != length + (HEADER_SIZE + 1), "LENGTH_MISMATCH"),
+        (F.col("_stored") != F.col("_computed"), "CRC_MISMATCH"),
+        (version != 0, "UNSUPPORTED_PACKET_VERSION"),
+        ((apid == APID_HEALTH) & (payload_size != HEALTH_SIZE), "INVALID_HEALTH_LENGTH"),
+        ((apid == APID_COMMAND_ACK) & (payload_size != ACK_SIZE), "INVALID_ACK_LENGTH"),
     )
+    return compute_once(
+        read,
+        packet_version=version,
+        packet_type=bits(head, 44, 1),
+        apid=apid,
+        sequence_count=bits(head, 16, 14),
+        data_length=length,
+        packet_rejection=rejection,
+    ).drop("_head", "_stored", "_computed")
 
 
 def packet_payload(raw: Column | str) -> Column:

@@ -263,29 +263,27 @@ def field_rejection(f: dict[str, Column], received_us: Column | str | None) -> C
 
 
 def validate_frames(
-    df: DataFrame, raw: str = "raw_body", received_us: str = "received_us"
+    df: DataFrame, raw: str = "raw_body", received_us: str = "received_us", **also: Column
 ) -> DataFrame:
     """Decode and add ``frame_rejection``: the first broken rule of the
     receiver's order, NULL when valid. Bad bytes give a reason, never an error.
 
-    The version byte is looked at before length and checksum.
+    The version byte is looked at before length and checksum. ``also`` names
+    further columns to evaluate once along with the verdict.
     """
-    fields = {name: F.col(name) for name in (*FRAME_FIELDS, "wire_crc")}
+    fields = _fields_of_words()
     rejection = F.coalesce(
         first_broken(
             (F.col("_size") == 0, "EMPTY_BODY"),
             (F.col("_version") != "01", "UNSUPPORTED_PROTOCOL_VERSION"),
             (F.col("_size") != FRAME_SIZE, "INVALID_FRAME_LENGTH"),
-            (F.col("wire_crc") != F.col("calculated_crc"), "CRC_MISMATCH"),
+            (fields["wire_crc"] != F.col("calculated_crc"), "CRC_MISMATCH"),
         ),
         field_rejection(fields, received_us),
     )
-    return (
-        _read_words(df, raw)
-        .withColumns(_fields_of_words())
-        .withColumn("frame_rejection", rejection)
-        .drop(*_SCRATCH)
-    )
+    return compute_once(
+        _read_words(df, raw), **fields, frame_rejection=rejection, **also
+    ).drop(*_SCRATCH)
 
 
 def is_canonical_request_id(request_id: Column | str) -> Column:

@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemark.functions.legacy_wire import COMMANDS
 
 
+def _of_command(position: int) -> Column:
+    """A column of the fixed allow-list, by command name."""
+    value = F.lit(None).cast("bigint")
+    for command in COMMANDS:
+        value = F.when(F.col("name") == command[0], F.lit(command[position])).otherwise(value)
+    return value
+
+
 def validate_commands(requests: DataFrame) -> DataFrame:
-    """Allow-list check and first status. The allow-list is a fixed table of
-    three rows, so it is broadcast."""
-    allowed = requests.sparkSession.createDataFrame(
-        list(COMMANDS), "name string, opcode bigint, minimum bigint, maximum bigint"
-    )
-    known = F.col("opcode").isNotNull()
-    inside = F.col("argument").between(F.col("minimum"), F.col("maximum"))
-    reason = F.when(~known, F.concat(F.lit("unsupported command: "), "name")).when(
-        ~inside,
+    """Allow-list check and first status; map-only, the list is three literals."""
+    reason = F.when(
+        F.col("opcode").isNull(), F.concat(F.lit("unsupported command: "), "name")
+    ).when(
+        ~F.col("argument").between(_of_command(2), _of_command(3)),
         F.format_string(
-            "argument %d outside [%d, %d] for %s", "argument", "minimum", "maximum", "name"
+            "argument %d outside [%d, %d] for %s",
+            "argument", _of_command(2), _of_command(3), "name",
         ),
     )
+    accepted = F.col("reason").isNull()
     return (
-        requests.join(F.broadcast(allowed), "name", "left")
+        requests.withColumn("opcode", _of_command(1))
         .withColumn("reason", reason)
-        .withColumn("result", F.when(F.col("reason").isNull(), "accepted").otherwise("invalid"))
-        .withColumn(
-            "status",
-            F.when(
-                F.col("reason").isNull(),
-                F.when(F.col("dry_run"), "DRY_RUN_VALIDATED").otherwise("QUEUED"),
-            ),
+        .withColumns(
+            {
+                "result": F.when(accepted, "accepted").otherwise("invalid"),
+                "status": F.when(
+                    accepted, F.when(F.col("dry_run"), "DRY_RUN_VALIDATED").otherwise("QUEUED")
+                ),
+            }
         )
-        .drop("minimum", "maximum")
     )
 
 

@@ -52,26 +52,25 @@ def request_identity(deliveries: DataFrame) -> DataFrame:
     owner = F.col("fact.delivery_id")
     is_new = owner.isNull() | (owner == F.col("delivery_id"))
     same_body = F.col("raw_body").eqNullSafe(F.col("fact.raw_body"))
-    return rows.withColumns(
-        {
-            "request_state": F.when(is_new, "NEW").when(same_body, "REPLAY").otherwise("CONFLICT"),
-            "first_delivery_id": F.coalesce(owner, F.col("delivery_id")),
-            "judged_received_us": F.when(is_new, F.col("received_us")).otherwise(
-                F.col("fact.received_us")
-            ),
-            "judged_content_type": F.when(is_new, F.col("content_type")).otherwise(
-                F.col("fact.content_type")
-            ),
-        }
+    return wire.compute_once(
+        rows,
+        request_state=F.when(is_new, "NEW").when(same_body, "REPLAY").otherwise("CONFLICT"),
+        first_delivery_id=F.coalesce(owner, F.col("delivery_id")),
+        judged_received_us=F.when(is_new, F.col("received_us")).otherwise(
+            F.col("fact.received_us")
+        ),
+        judged_content_type=F.when(is_new, F.col("content_type")).otherwise(
+            F.col("fact.content_type")
+        ),
     ).drop("fact")
 
 
 def identify(deliveries: DataFrame) -> DataFrame:
     """Request identity, then the map-only decode and validation."""
     return wire.validate_frames(
-        request_identity(deliveries), received_us="judged_received_us"
-    ).withColumn(
-        "header_rejection", wire.header_rejection("judged_content_type", "request_id")
+        request_identity(deliveries),
+        received_us="judged_received_us",
+        header_rejection=wire.header_rejection("judged_content_type", "request_id"),
     )
 
 
@@ -132,16 +131,15 @@ def packet_identity(identified: DataFrame) -> DataFrame:
     keyed = identified.withColumns({f"_{k}": F.when(reaches, F.col(k)) for k in PACKET_KEY})
     rows = attach_group_facts(keyed, repeated, keys, row_id="delivery_id")
     first = F.coalesce("fact.delivery_id", "first_delivery_id")
-    return rows.withColumns(
-        {
-            "packet_state": F.when(
-                reaches,
-                F.when(first == F.col("first_delivery_id"), "PACKET")
-                .when(F.col("raw_body") == F.col("fact.raw_body"), "DUPLICATE")
-                .otherwise("CONFLICT"),
-            ),
-            "origin_delivery_id": F.when(reaches, first),
-        }
+    return wire.compute_once(
+        rows,
+        packet_state=F.when(
+            reaches,
+            F.when(first == F.col("first_delivery_id"), "PACKET")
+            .when(F.col("raw_body") == F.col("fact.raw_body"), "DUPLICATE")
+            .otherwise("CONFLICT"),
+        ),
+        origin_delivery_id=F.when(reaches, first),
     ).drop("fact", *keys)
 
 

@@ -14,6 +14,7 @@ from telemark.operators import (
 )
 from telemark.operators import command_history as command_history_
 from telemark.plans.tables import Tables
+from telemark.session import settle
 from telemark.sources import command_sample, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -642,8 +643,8 @@ def alert_rules(t):
 @query
 def session_health(t):
     """Which sessions lost packets, and how healthy are they?"""
-    packets = identity.unique_packets(identity.identify(t.deliveries()))
-    state = sequence.sequence_state(sequence.sequence_disposition(packets))
+    packets = settle(identity.unique_packets(identity.identify(t.deliveries())), "packets")
+    state = sequence.sequence_state(sequence.sequence_disposition(packets, settled=True))
     graded = health.assess_health(packets).groupBy("payload_id", "boot_id").agg(
         *(
             F.count_if(F.col("classification") == name).alias(f"{name.lower()}_packets")

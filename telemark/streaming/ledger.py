@@ -63,8 +63,9 @@ def delivery_stream(deliveries: DataFrame) -> DataFrame:
         }
     )
     requests = _stateful(keyed, ["request_key", "spread"], RequestIdentity(), IDENTIFIED)
-    judged = wire.validate_frames(requests, received_us="judged_received_us").withColumn(
-        "header_rejection", wire.header_rejection("judged_content_type", "request_id")
+    judged = wire.validate_frames(
+        requests, received_us="judged_received_us",
+        header_rejection=wire.header_rejection("judged_content_type", "request_id"),
     )
     reaches = (F.col("request_state") != "CONFLICT") & passes_validation()
     keys = [f"_{k}" for k in PACKET_KEY]
