@@ -27,6 +27,8 @@ from telemark.session import settle
 
 SESSION = ["payload_id", "boot_id"]
 BLOCK_NUMBERS = 1 << 18
+# Receipt time of the row that stands for a stored mark.
+SEED_US = -(1 << 62)
 MODULUS = 1 << 32
 HALF_RANGE = 1 << 31
 KEPT = [*SESSION, "sequence_number", "received_us", "delivery_id"]
@@ -205,8 +207,35 @@ def _disposition() -> dict[str, Column]:
     }
 
 
+def state_conflicts(packets: DataFrame, state: DataFrame) -> DataFrame:
+    """Packets of a later load whose number equals the stored mark although no
+    stored packet has it: the stored state contradicts the permanent records.
+
+    They are reported, not disposed; see ``sequence_disposition``.
+    """
+    marks = state.select(*SESSION, F.col("high_water_sequence").alias("sequence_number"))
+    return packets.join(marks, [*SESSION, "sequence_number"], "left_semi").withColumn(
+        "state_conflict", F.lit("SEQUENCE_STATE_CONFLICT")
+    )
+
+
+def _seeded(packets: DataFrame, state: DataFrame) -> DataFrame:
+    """New packets behind one row per stored session that stands for its mark:
+    earlier than any delivery, so the same rules continue from it."""
+    marks = state.select(*SESSION, F.col("high_water_sequence").alias("sequence_number"))
+    sessions = packets.select(*SESSION).distinct()
+    seeds = marks.join(sessions, SESSION, "left_semi").select(
+        *SESSION, "sequence_number",
+        F.lit(SEED_US).cast("bigint").alias("received_us"),
+        F.lit(-1).cast("bigint").alias("delivery_id"),
+    )
+    fresh = packets.join(marks, [*SESSION, "sequence_number"], "left_anti")
+    return fresh.select(*KEPT).unionByName(seeds)
+
+
 def sequence_disposition(
     packets: DataFrame,
+    state: DataFrame | None = None,
     *,
     block_rows: int = BLOCK_NUMBERS,
     slices: int | None = None,
@@ -217,9 +246,13 @@ def sequence_disposition(
     ``packets`` holds one row per packet key. It is written once to the shared
     checkpoint folder unless the caller says it already is a written table,
     because its carries and the test for wide sessions read it several times.
+
+    With ``state``, the sequence state of earlier loads, the sessions continue
+    from their stored marks; ``packets`` then holds only new packet keys, and
+    ``merged_state`` gives the state after the load.
     """
-    kept = packets.select(*KEPT)
-    if not settled:
+    kept = packets.select(*KEPT) if state is None else _seeded(packets, state)
+    if not settled or state is not None:
         kept = settle(kept)
     rows = kept.withColumn("block", block_of("sequence_number", block_rows))
     carries = _block_carries(_blocks(rows))
@@ -228,6 +261,8 @@ def sequence_disposition(
     if not wide_sessions.isEmpty():
         wide_rows = rows.join(wide_sessions, SESSION, "left_semi")
         narrow = narrow.unionByName(_wide_disposition(wide_rows, slices))
+    if state is not None:
+        narrow = narrow.where(F.col("received_us") != SEED_US)
     return narrow.withColumns(_disposition()).select(
         *KEPT, "sequence_disposition", "missing_before", "high_water_before"
     )
@@ -309,16 +344,21 @@ def sequence_decision(candidates: DataFrame, disposed: DataFrame) -> DataFrame:
     )
 
 
-def incremental_disposition(packets: DataFrame, state: DataFrame) -> DataFrame:
-    """First step of a load on top of stored state: packets that meet a stored
-    mark equal to their own number contradict the permanent records.
-
-    ``state`` is the stored sequence state of the sessions in ``packets``.
-    """
-    marks = state.select(*SESSION, "high_water_sequence")
-    return packets.join(marks, SESSION, "left").withColumn(
-        "state_conflict",
-        F.when(
-            F.col("high_water_sequence") == F.col("sequence_number"), "SEQUENCE_STATE_CONFLICT"
+def merged_state(state: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Stored sequence state after a load: counts add up, and the mark is the
+    load's last advancing number where it has one."""
+    new = sequence_state(loaded).drop("last_high_water_packet_id")
+    old = state.select(*SESSION, *(F.col(c).alias(f"_{c}") for c in new.columns if c not in SESSION))
+    both = old.join(new, SESSION, "full_outer")
+    zero = F.lit(0).cast("bigint")
+    return both.select(
+        *SESSION,
+        F.coalesce("high_water_sequence", "_high_water_sequence").alias("high_water_sequence"),
+        *(
+            (F.coalesce(c, zero) + F.coalesce(f"_{c}", zero)).alias(c)
+            for c in ("accepted_packet_count", "missing_packet_count")
         ),
+    ).withColumn(
+        "last_high_water_packet_id",
+        wire.packet_id("payload_id", "boot_id", "high_water_sequence"),
     )

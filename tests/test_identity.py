@@ -79,11 +79,11 @@ def test_replay_is_judged_by_its_first_receipt_time(spark):
     assert got[2].rejection_reason == "TIMESTAMP_TOO_FAR_IN_FUTURE"
 
 
-def test_incremental_state_conflict(spark):
+def test_state_conflict_of_a_later_load(spark):
     packets = spark.createDataFrame([(1, 42, 7), (1, 43, 7)], "payload_id bigint, boot_id bigint, sequence_number bigint")
     state = spark.createDataFrame([(1, 42, 7)], "payload_id bigint, boot_id bigint, high_water_sequence bigint")
-    got = {r.boot_id: r.state_conflict for r in sequence.incremental_disposition(packets, state).collect()}
-    assert got == {42: "SEQUENCE_STATE_CONFLICT", 43: None}
+    got = [(r.boot_id, r.state_conflict) for r in sequence.state_conflicts(packets, state).collect()]
+    assert got == [(42, "SEQUENCE_STATE_CONFLICT")]
 
 
 def test_hot_groups_are_split(spark, tmp_path):

@@ -115,3 +115,28 @@ def test_missing_ranges(spark):
     disposed = run(spark, {1: [3, 4, 9, 8], 2: [0, 1]})
     got = sorted(tuple(r)[1:] for r in sequence.missing_ranges(disposed).collect())
     assert got == [(1, 3, 0, 2, 3), (1, 9, 5, 8, 4)]
+
+
+def test_loads_continue_from_stored_state(spark):
+    rng = random.Random(3)
+    sessions = {
+        boot: unique(max(0, 50 + i + rng.choice([0, 0, -20, 7])) for i in range(80)) for boot in range(1, 6)
+    }
+    sessions[6] = unique(rng.randrange(MOD) for _ in range(80))
+    rows = [(1, b, s, 1000 + at, 10_000 * b + at) for b, n in sessions.items() for at, s in enumerate(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in sequence.KEPT))
+    whole = sequence.sequence_disposition(df, block_rows=16, slices=2)
+    first, second = df.where("received_us < 1030"), df.where("received_us >= 1030")
+    one = sequence.sequence_disposition(first.where("boot_id <> 5"), block_rows=16, slices=2)
+    state = sequence.sequence_state(one)
+    late_session = second.unionByName(first.where("boot_id = 5"))
+    two = sequence.sequence_disposition(late_session, state, block_rows=16, slices=2)
+    columns = ["delivery_id", "sequence_disposition", "missing_before", "high_water_before"]
+    parts = one.select(*columns).unionByName(two.select(*columns))
+    assert sorted(map(tuple, parts.collect()), key=str) == sorted(
+        map(tuple, whole.select(*columns).collect()), key=str
+    )
+    after = sequence.merged_state(state, two)
+    assert sorted(map(tuple, after.collect())) == sorted(
+        tuple(r) for r in sequence.sequence_state(whole).select(*after.columns).collect()
+    )
