@@ -16,6 +16,7 @@ from telemark.operators import command_history as command_history_
 from telemark.plans.tables import Tables
 from telemark.session import settle
 from telemark.sources import command_sample, sample
+from telemark.streaming import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -758,3 +759,24 @@ def operator_idempotency(t):
     return command_history_.operator_idempotency(requests).select(
         "request_no", "intent", "first_request_no"
     )
+
+
+# -- stream --------------------------------------------------------------------
+
+
+@query
+def delivery_stream(t):
+    """The delivery stream over everything that has landed, run until it is
+    caught up; the result is read back from the stream's own sink."""
+    out = t.scratch("delivery-stream")
+    columns = [
+        "delivery_id", "request_state", "first_delivery_id", "packet_state", "origin_delivery_id",
+        "validation_status", "rejection_reason", "sequence_disposition", "missing_before",
+    ]
+
+    def sink(batch, batch_id):
+        batch.select(*columns).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+
+    source = ledger.read_deliveries(t.spark, t.folder(t.deliveries()))
+    ledger.run_available(ledger.delivery_stream(source), sink, f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/rows").select(*columns)

@@ -1005,3 +1005,11 @@ ORACLES |= {
       SELECT request_no, CASE copy WHEN 0 THEN 'NEW' WHEN 1 THEN 'REPLAY' ELSE 'CONFLICT' END AS intent,
         e*4 AS first_request_no FROM c""",
 }
+
+ORACLES["delivery_stream"] = with_(
+    ledger(),
+    """SELECT o.delivery_id, request_state, first_delivery_id, o.packet_state, origin_delivery_id, validation_status,
+      rejection_reason, sequence_disposition, missing_before
+    FROM o LEFT JOIN (SELECT delivery_id, sequence_disposition, missing_before FROM pk) p
+      ON p.delivery_id = o.delivery_id AND o.request_state='NEW'""",
+)

@@ -8,13 +8,14 @@ are always computed from the landing tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.operators import audit, identity, jobs, legacy, results, sequence
-from telemark.session import settle, use_utc
+from telemark.session import settle, shared_folder, use_utc
 from telemark.sources import command_sample, sample
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
@@ -32,6 +33,13 @@ class Tables:
         # a fresh plan over the same files, so that self-joins resolve
         return _WRITTEN[key].select("*")
 
+    def folder(self, table: DataFrame) -> str:
+        """Where a written table's files lie, for stream readers."""
+        return table.inputFiles()[0].rsplit("/", 1)[0]
+
+    def scratch(self, name: str) -> str:
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     # -- landing --------------------------------------------------------------
 
     def deliveries(self) -> DataFrame:

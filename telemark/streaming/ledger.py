@@ -13,6 +13,7 @@ from telemark.operators.metrics import HOLD_S, RATE_WINDOW_S, STEP_S
 from telemark.sources.schemas import DELIVERY, struct
 from telemark.streaming.processors import (
     SHARED,
+    SPREADS,
     AbsenceAlert,
     PacketIdentity,
     RequestIdentity,
@@ -52,9 +53,9 @@ def delivery_stream(deliveries: DataFrame) -> DataFrame:
     """Outcome of every delivery, packets with their sequence disposition.
 
     Three chained stateful steps, keyed by request id, packet key and session.
-    Rows that need no state under a key carry their own id in the spread column.
+    Rows that need no state under a key are spread by the spread column.
     """
-    own = F.col("delivery_id")
+    own = F.pmod(F.col("delivery_id"), F.lit(SPREADS))
     named = deliveries.withColumn("canonical_request_id", wire.canonical_request_id("request_id"))
     keyed = named.withColumns(
         {

@@ -16,9 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MODULUS = 1 << 32
 HALF_RANGE = 1 << 31
-# Value of the spread column for rows that share state under their key; other
-# rows carry their own id there, so they spread out and keep no state.
+# Value of the spread column for rows that share state under their key. Rows
+# that need no state carry one of SPREADS other values there: they spread over
+# all tasks, yet a task handles many of them per call.
 SHARED = -1
+SPREADS = 4096
 
 
 def in_arrival_order(rows: Iterator[Row]) -> list[Row]:
@@ -35,12 +37,13 @@ class RequestIdentity(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         shared = key[1] == SHARED
-        owner = self.first.get() if shared and self.first.exists() else None
+        owner = self.first.get() if shared else None
         for r in in_arrival_order(rows):
-            if owner is None or not shared:
+            if not shared:
+                state = "NEW"
+            elif owner is None:
                 owner = (r.delivery_id, r.received_us, r.content_type, r.raw_body)
-                if shared:
-                    self.first.update(owner)
+                self.first.update(owner)
                 state = "NEW"
             else:
                 state = "REPLAY" if bytes(owner[3]) == bytes(r.raw_body) else "CONFLICT"
@@ -66,7 +69,7 @@ class PacketIdentity(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         reaches = key[3] == SHARED
-        first = self.first.get() if reaches and self.first.exists() else None
+        first = self.first.get() if reaches else None
         for r in in_arrival_order(rows):
             state, origin = None, None
             if reaches:
@@ -97,8 +100,9 @@ class SequenceTracker(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         tracked = key[2] == SHARED
         high, accepted, missing = None, 0, 0
-        if tracked and self.mark.exists():
-            high, accepted, missing = self.mark.get()
+        stored = self.mark.get() if tracked else None
+        if stored is not None:
+            high, accepted, missing = stored
         changed = False
         for r in in_arrival_order(rows):
             disposition, gap = None, None
@@ -135,7 +139,7 @@ class AbsenceAlert(StatefulProcessor):
         self.last = handle.getValueState("last", "tick_ms bigint, firing boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last, firing = self.last.get() if self.last.exists() else (None, False)
+        last, firing = self.last.get() or (None, False)
         ticks = sorted({int(r.tick_us) // 1000 for r in rows})
         for tick in ticks:
             if last is not None and tick <= last:
