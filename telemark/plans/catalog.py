@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from telemark.functions import command_wire, health, legacy_wire, wire
 from telemark.operators import (
-    audit, commands, identity, jobs, legacy, metrics, quality, results, sequence, topk,
+    audit, commands, identity, jobs, legacy, load, metrics, quality, results, sequence, topk,
 )
 from telemark.operators import command_history as command_history_
 from telemark.plans.tables import Tables
@@ -780,3 +780,17 @@ def delivery_stream(t):
     source = ledger.read_deliveries(t.spark, t.folder(t.deliveries()))
     ledger.run_available(ledger.delivery_stream(source), sink, f"{out}/checkpoint")
     return t.spark.read.parquet(f"{out}/rows").select(*columns)
+
+
+@query
+def ledger_load(t):
+    """Two loads, split in the middle of the month: the second meets the first
+    through the stored outcome only."""
+    middle = sample.SHIFT_US + 1705363200000000  # 2024-01-16 before the shift
+    arrived = t.deliveries()
+    early = arrived.where(F.col("received_us") < middle)
+    first = settle(identity.delivery_outcome(identity.identify(early)), "first_load")
+    second = load.load_outcome(arrived.where(F.col("received_us") >= middle), first)
+    columns = ["delivery_id", "is_replay", "validation_status", "rejection_reason", "response_code",
+               "origin_delivery_id"]
+    return first.select(*columns).unionByName(second.select(*columns))

@@ -1013,3 +1013,5 @@ ORACLES["delivery_stream"] = with_(
     FROM o LEFT JOIN (SELECT delivery_id, sequence_disposition, missing_before FROM pk) p
       ON p.delivery_id = o.delivery_id AND o.request_state='NEW'""",
 )
+
+ORACLES["ledger_load"] = ORACLES["delivery_outcome"]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemark.functions import wire
-from telemark.operators import identity
+from telemark.operators import identity, sequence
 from telemark.operators.identity import PACKET_KEY, passes_validation
+from telemark.operators.load import load_outcome
 from telemark.operators.metrics import HOLD_S, RATE_WINDOW_S, STEP_S
 from telemark.sources.schemas import DELIVERY, struct
 from telemark.streaming.processors import (
@@ -183,3 +184,44 @@ def stopped_stream(samples: DataFrame, lateness: str = "10 seconds") -> DataFram
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+# -- bulk loads ----------------------------------------------------------------
+
+
+def bulk_sink(root: str):
+    """A ``foreachBatch`` sink that runs each micro-batch through the batch
+    operators on top of the batches before it; no Python worker takes part.
+
+    For few large batches, where one pass over the stored keys costs less than a
+    state call per row. Outcome and packets of a batch own one folder each and
+    read only folders of earlier batches, so a repeated batch gives the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def earlier(name: str) -> DataFrame | None:
+            if batch_id == 0:
+                return None
+            rows = spark.read.parquet(f"{root}/{name}")
+            return rows.where(F.col("batch_id") < batch_id).drop("batch_id")
+
+        stored = earlier("outcome")
+        outcome = (
+            identity.delivery_outcome(identity.identify(batch))
+            if stored is None
+            else load_outcome(batch, stored)
+        )
+        path = f"{root}/outcome/batch_id={batch_id}"
+        outcome.write.mode("overwrite").parquet(path)
+        accepted = spark.read.parquet(path).where(
+            "request_state = 'NEW' and packet_state = 'PACKET'"
+        )
+        before = earlier("packets")
+        state = None if before is None else sequence.sequence_state(before)
+        sequence.sequence_disposition(accepted, state, settled=True).write.mode(
+            "overwrite"
+        ).parquet(f"{root}/packets/batch_id={batch_id}")
+
+    return write

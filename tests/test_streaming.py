@@ -101,3 +101,25 @@ def test_rate_and_absence_streams_equal_batch(spark, tables, tmp_path):
     intervals = metrics.alert_rules(samples, gaps, empty).collect()
     want = {r.start_us for r in intervals}
     assert want - starts == set() and len(starts - want) <= 1
+
+
+def test_bulk_loads_equal_one_batch(spark, tables, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    deliveries = tables.deliveries()
+    in_files(deliveries, "received_us", source, 3)
+    sink = ledger.bulk_sink(root)
+    for _ in range(2):  # the second run finds nothing new
+        ledger.run_available(ledger.read_deliveries(spark, source, 1), sink, str(tmp_path / "ck"))
+    got = spark.read.parquet(f"{root}/outcome")
+    assert got.select("batch_id").distinct().count() >= 3
+    batch = identity.delivery_outcome(identity.identify(deliveries))
+    assert sorted(map(tuple, got.select(*OUTCOME).collect()), key=str) == sorted(
+        map(tuple, batch.select(*OUTCOME).collect()), key=str
+    )
+    disposed = sequence.sequence_disposition(
+        batch.where("request_state = 'NEW' and packet_state = 'PACKET'")
+    ).select("delivery_id", "sequence_disposition", "missing_before", "high_water_before")
+    packets = spark.read.parquet(f"{root}/packets").select(*disposed.columns)
+    assert sorted(map(tuple, packets.collect()), key=str) == sorted(
+        map(tuple, disposed.collect()), key=str
+    )
