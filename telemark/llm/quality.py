@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from telemark.llm.rows import map_arrow
 from telemark.session import settle
 
-#: Labelled documents to learn from, at most, and their lines.
+#: Labelled documents to learn from, at most, and their lines; one document may bring a 400th of the lines.
 MOST_LEARNED, MOST_LINES = 6000, 400_000
 BINS = 8
 
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED) -> Model
     named = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
     taken = settle(named.where("quality = _most").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "learned")
     texts = docs.select("doc_id", "text").join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi")
-    rows = map_arrow(texts, _described, "doc_id long, bins binary").join(F.broadcast(taken), "doc_id").where(F.length("bins") <= MEASURES * MOST_LINES // 40)
+    rows = map_arrow(texts, _described, "doc_id long, bins binary").join(F.broadcast(taken), "doc_id").where(F.length("bins") <= MEASURES * MOST_LINES // 400)
     got = rows.orderBy(F.xxhash64("doc_id"), "bins").limit(most).toPandas()
     bins = [np.frombuffer(b, np.uint8).reshape(-1, MEASURES) for b in got["bins"]]
     lengths = np.array([len(b) for b in bins], np.int64)
