@@ -3,11 +3,11 @@
 Texts with equal shingle sets form one class, and the class's smallest id stands for it. Classes that
 collide in min-hash bands are compared with one leader per bucket, a star and never all
 pairs; what links becomes a provisional component, cut into groups of some 32 classes. The matrix holds the
-shingles that occur in more than one component. A class can reach the threshold with a
-member of a group only if one of the first ``n - ceil(t n) + 1`` shingles of its order lies
-in the group's token union, so these rows of the matrix name the groups to look at. For each,
-the overlap with the whole union bounds every member's overlap; only groups that pass are opened and
-their members compared exactly. One link to a group suffices, as its members are already connected.
+shingles that occur in more than one component. If two sets reach the threshold t, at least l of the
+first ``n - ceil(t n) + l`` shingles of each, in a common order, are in both; l is a twentieth
+of n, so a class meets a member of a group only if t/20 of its size lies in the group's token union within
+these rows of the matrix. For each group that this leaves, the overlap with the whole union bounds every member's
+overlap; only groups that pass are opened and their members compared exactly. One link to a group suffices, as its members are already connected.
 
 The order puts the shingles that many classes share last. It is only an order: any common order finds
 every link, so a bounded list of such shingles loses nothing.
@@ -34,10 +34,12 @@ from telemark.llm.rows import alike, bands, map_arrow, only, permuted, shingles
 from telemark.session import settle
 
 #: Min-hashes of the grouping bands, and rows per band.
-HASHES, BAND_ROWS = 24, 2
+HASHES, BAND_ROWS = 32, 4
 GROUP = 32
 #: Shingles below this share of the hash range can stand in a prefix, but for very short texts.
 COUNTED = 0.35
+#: The part of a set that must be met in the matrix.
+MET = 20
 #: A shingle of at least so many classes goes to the end of the order; the list's largest size (2 MB).
 COMMON, MOST_COMMON = 24, 2**18
 #: Matrix entries and counted shingles that one task holds together.
@@ -71,7 +73,7 @@ def _counted(width: int, buckets: int):
         token, n = np.unique(np.concatenate(low), return_counts=True)
         at = _split(token, buckets)
         order = np.argsort(at, kind="stable")
-        token, n, at = token[order], n[order].astype(np.uint32), at[order]
+        token, n, at = token[order], np.minimum(n[order], 255).astype(np.uint8), at[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
         ends = [*starts[1:], len(at)]
         yield pa.RecordBatch.from_pydict(
@@ -84,7 +86,7 @@ def _counted(width: int, buckets: int):
 
 def _common_of(pdf: pd.DataFrame) -> pd.DataFrame:
     token = np.frombuffer(b"".join(pdf["token"]), np.uint64)
-    n = np.frombuffer(b"".join(pdf["n"]), np.uint32)
+    n = np.frombuffer(b"".join(pdf["n"]), np.uint8)
     token, at = np.unique(token, return_inverse=True)
     n = np.bincount(at, weights=n, minlength=len(token)).astype(np.int64)
     keep = n >= COMMON
@@ -92,28 +94,29 @@ def _common_of(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles, the common ones last and each part by hash."""
+    """The first n - ceil(t n) + l shingles, the common ones last and each part by hash."""
     n = len(s)
-    take = n - math.ceil(percent * n / 100) + 1
-    late = np.isin(s, common) if len(common) else np.zeros(n, bool)
+    take = n - -(-percent * n // 100) + max(1, n // MET)
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    late = common[at] == s if len(common) else np.zeros(n, bool)
     return np.concatenate([s[~late][:take], s[late]])[:take]
 
 
 def _entries(width: int, percent: int, buckets: int, common):
     def work(ids, texts):
         last = common.value
-        token, doc, pos, size = [], [], [], []
+        token, doc, size = [], [], []
         for i, text in zip(ids, texts, strict=True):
             s = shingles(text, width)
             if len(s):
                 p = _prefix(s, last, percent)
                 token.append(p)
                 doc.append(np.full(len(p), i, np.int64))
-                pos.append(np.arange(len(p), dtype=np.int32))
                 size.append(np.full(len(p), len(s), np.int32))
         if not token:
             return
-        token, doc, pos, size = map(np.concatenate, (token, doc, pos, size))
+        token, doc, size = map(np.concatenate, (token, doc, size))
         at = _split(token, buckets)
         order = np.argsort(at, kind="stable")
         at = at[order]
@@ -121,8 +124,8 @@ def _entries(width: int, percent: int, buckets: int, common):
         ends = [*starts[1:], len(at)]
         cut = lambda x: [x[order][a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         yield pa.RecordBatch.from_pydict(
-            {"bucket": [int(at[a]) for a in starts], "token": cut(token), "doc": cut(doc), "pos": cut(pos), "size": cut(size)},
-            pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("token", "doc", "pos", "size"))]),
+            {"bucket": [int(at[a]) for a in starts], "token": cut(token), "doc": cut(doc), "size": cut(size)},
+            pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("token", "doc", "size"))]),
         )
 
     return work
@@ -132,36 +135,36 @@ def _shared_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """Entries of the shingles that stand in more than one document."""
     token = np.frombuffer(b"".join(pdf["token"]), np.uint64)
     doc = np.frombuffer(b"".join(pdf["doc"]), np.int64)
-    pos = np.frombuffer(b"".join(pdf["pos"]), np.int32)
     size = np.frombuffer(b"".join(pdf["size"]), np.int32)
     _, at, n = np.unique(token, return_inverse=True, return_counts=True)
     keep = n[at] > 1
-    return pd.DataFrame({"token": token[keep].view(np.int64), "doc_id": doc[keep], "pos": pos[keep], "size": size[keep]})
+    return pd.DataFrame({"token": token[keep].view(np.int64), "doc_id": doc[keep], "size": size[keep]})
 
 
 def _candidates_of(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(query, group) of the entries of one bucket, with the hits they share: neighbours at every
-    distance within a shingle's run that lie in different components and pass the size and position filters."""
+    """(query, group) of the entries of one bucket and how many shingles they share there: rows at every distance
+    within a shingle's run that lie in different components and pass the size filter."""
     pdf = pdf.sort_values(["token", "component", "doc_id"], kind="stable")
     token, comp = pdf["token"].to_numpy(), pdf["component"].to_numpy()
     doc, group = pdf["doc_id"].to_numpy(), pdf["grp"].to_numpy()
-    size, pos = pdf["size"].to_numpy().astype(np.int64), pdf["pos"].to_numpy().astype(np.int64)
+    size = pdf["size"].to_numpy().astype(np.int64)
     found, step = [], 1
     rows = np.arange(max(0, len(pdf) - 1))
     while len(rows):
         rows = rows[rows + step < len(token)]
         rows = rows[token[rows] == token[rows + step]]
         a, b = rows, rows + step
-        need = -(-percent * (size[a] + size[b]) // (100 + percent))
         ok = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
-        ok &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need
-        if ok.any():
-            found.append(np.stack([doc[b[ok]], comp[a[ok]], group[a[ok]]], axis=1))
+        a, b = a[ok], b[ok]
+        if len(a):
+            found.append(np.stack([doc[b], comp[a], group[a], size[b], token[a]], axis=1))
             if sum(map(len, found)) > 4_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         step += 1
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-    return pd.DataFrame({"query": pairs[:, 0], "component": pairs[:, 1], "grp": pairs[:, 2]})
+    if not found:
+        return pd.DataFrame({k: [] for k in ("query", "component", "grp", "size", "hits")})
+    hits = pd.DataFrame(np.concatenate(found), columns=["query", "component", "grp", "size", "token"]).drop_duplicates()
+    return hits.groupby(["query", "component", "grp", "size"], as_index=False).agg(hits=("token", "size"))
 
 
 def _arrays(width: int):
@@ -249,15 +252,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     ranked = counts.groupBy("bucket").applyInPandas(_common_of, "token long, n long").orderBy(F.desc("n"), "token")
     common = ranked.limit(MOST_COMMON).toPandas()["token"].to_numpy(np.int64)
     common = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
-    entries = map_arrow(texts, _entries(width, percent, buckets, common), "bucket long, token binary, doc binary, pos binary, size binary")
-    shared = entries.groupBy("bucket").applyInPandas(_shared_of, "token long, doc_id long, pos int, size int")
+    entries = map_arrow(texts, _entries(width, percent, buckets, common), "bucket long, token binary, doc binary, size binary")
+    shared = entries.groupBy("bucket").applyInPandas(_shared_of, "token long, doc_id long, size int")
     matrix = shared.join(groups, "doc_id").dropDuplicates(["token", "doc_id"])
     spread = matrix.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     crossing = matrix.join(spread.select("token"), "token").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    asked = settle(
-        crossing.groupBy("bucket").applyInPandas(lambda pdf: _candidates_of(pdf, percent), "query long, component long, grp long").distinct(),
-        "asked",
-    )
+    met = crossing.groupBy("bucket").applyInPandas(lambda pdf: _candidates_of(pdf, percent), "query long, component long, grp long, size long, hits long")
+    least = F.greatest(F.lit(1), F.floor(F.col("size") * percent / 100 / MET))
+    asked = met.groupBy("query", "component", "grp", "size").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least)
+    asked = settle(asked.select("query", "component", "grp").distinct(), "asked")
     found = _links(texts, asked, groups.select("component", "grp", "doc_id"), width, percent)
     ends = components(linked.unionByName(found).unionByName(copies))
     sized = described.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
