@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,25 +64,31 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(mixed(s))
 
 
-def permuted(s: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
-    """``k`` min-hashes of a non-empty shingle set."""
+@cache
+def _permutations(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, k, dtype=np.uint64)
-    out = np.full(k, np.uint64(2**64 - 1))
+    return a[:, None], rng.integers(0, 2**63, k, dtype=np.uint64)[:, None]
+
+
+def permuted(s: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
+    """``k`` min-hashes of a non-empty shingle set."""
+    a, b = _permutations(k, seed)
+    out = None
     for at in range(0, len(s), 4096):
-        x = s[at : at + 4096, None] * a + b
+        x = a * s[at : at + 4096]
+        x += b
         x ^= x >> np.uint64(32)
-        out = np.minimum(out, (x * np.uint64(0xD6E8FEB86659FD93)).min(axis=0))
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        low = x.min(axis=1)
+        out = low if out is None else np.minimum(out, low)
     return out
 
 
 def bands(signature: np.ndarray, rows: int) -> list[int]:
     """One signed 64-bit key per band of ``rows`` min-hashes; the band number is part of it."""
-    return [
-        xxhash.xxh3_64_intdigest(signature[i : i + rows].tobytes(), seed=i) - 2**63
-        for i in range(0, len(signature) - rows + 1, rows)
-    ]
+    raw, step = signature.tobytes(), 8 * rows
+    return [xxhash.xxh3_64_intdigest(raw[at : at + step], seed=at) - 2**63 for at in range(0, len(raw) - step + 1, step)]
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
