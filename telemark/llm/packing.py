@@ -66,45 +66,6 @@ class _Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
-def _byte_characters() -> dict[int, str]:
-    """The character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
-
-
-BYTE_CHARACTERS = _byte_characters()
-_ENCODERS: dict[str, _Encoder] = {}
-
-
-class _Encoder(dict):
-    """Pre-token -> its ids as bytes; the tokenizer is asked once for each pre-token met."""
-
-    def __init__(self, path: str) -> None:
-        # special tokens' strings in a text are ordinary text: the model alone is asked
-        self.model = Tokenizer.from_file(path).model
-        self.split = splitter(public_tokenizers.PATTERN)
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, in lots of bounded length."""
-        at = 0
-        while at < len(texts):
-            lot, size = [], 0
-            while at < len(texts) and (not lot or size + len(texts[at]) <= LOT):
-                lot.append(self.split(texts[at]))
-                size += len(texts[at])
-                at += 1
-            new = [x for x in set().union(*lot) if x not in self]
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(set().union(*lot))
-            for x in new:
-                found = self.model.tokenize(x.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_CHARACTERS))
-                self[x] = struct.pack(f"<{len(found)}I", *[token.id for token in found])
-            for found in lot:
-                yield b"".join(map(self.__getitem__, found))
-
-
 def encoder(path: str) -> _Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = _Encoder(path)
