@@ -35,7 +35,7 @@ from telemark.session import settle
 PRIOR = 1.0
 HOT = 4096
 #: Grams that one task holds together.
-BUCKET = 4_000_000
+BUCKET = 3_000_000
 START = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
 
 
@@ -114,7 +114,7 @@ class _Terms:
         return np.where(context, -gain, gain)
 
 
-MOVED = pa.schema([("bucket", pa.int64()), ("batch", pa.string()), ("docs", pa.binary()), ("words", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+MOVED = pa.schema([("bucket", pa.int64()), ("batch", pa.string()), ("docs", pa.binary()), ("words", pa.binary()), ("low", pa.binary()), ("mid", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
 PARTIAL = "batch string, docs binary, words binary, sums binary"
 
 
@@ -141,10 +141,19 @@ def _moved(buckets: int, hot):
                     sums[i] = (terms[place[known]] * n[known]).sum() if known.any() else 0.0
                     key.append(found[~known])
                     doc.append(np.full(len(key[-1]), i, np.uint16))
-                    count.append(n[~known].astype(np.uint32))
+                    count.append(n[~known])
                     target.append(np.full(len(key[-1]), t, np.uint8))
                 key, doc, count, target = map(np.concatenate, (key, doc, count, target))
-                to = (key >> np.uint64(48)).astype(np.int64) % buckets
+                # a count takes one byte; a larger one is several entries
+                more = (np.maximum(count, 1) + 254) // 255
+                if len(more) and more.max() > 1:
+                    rest = count - 255 * (more - 1)
+                    last = np.cumsum(more) - 1
+                    key, doc, target, count = np.repeat(key, more), np.repeat(doc, more), np.repeat(target, more), np.full(more.sum(), 255)
+                    count[last] = rest
+                count = count.astype(np.uint8)
+                # 48 bits travel; the bucket tells the rest apart
+                to = ((mixed(key) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 key, doc, count, target, to = (x[order] for x in (key, doc, count, target, to))
                 ids = np.array([-1 if x is None else x for x in b.column(0).to_pylist()], np.int64)
@@ -153,7 +162,7 @@ def _moved(buckets: int, hot):
                 starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
                 for x, y in zip(starts, [*starts[1:], len(to)], strict=False):
                     k = key[x:y]
-                    rows.append((int(to[x]), name, None, None, k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint32).tobytes(), doc[x:y].tobytes(), np.minimum(count[x:y], 2**32 - 1).tobytes(), target[x:y].tobytes()))
+                    rows.append((int(to[x]), name, None, None, k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes(), doc[x:y].tobytes(), count[x:y].tobytes(), target[x:y].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MOVED, strict=True)], schema=MOVED)
 
     return work
@@ -167,11 +176,21 @@ def _summed(terms: _Terms):
         if not len(body):
             return out
         read = lambda k, t: np.frombuffer(b"".join(body[k]), t)
-        key = (read("high", np.uint32).astype(np.uint64) << np.uint64(32)) | read("low", np.uint32)
-        doc, n, t = read("at", np.uint16), read("n", np.uint32), read("t", np.uint8)
-        gram, at = np.unique(key, return_inverse=True)
-        total, target = np.bincount(at, n, len(gram)), np.bincount(at, n * t.astype(np.float64), len(gram))
-        value = terms((gram & np.uint64(1)).astype(bool), total, target)[at] * n
+        key = read("mid", np.uint16).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= read("low", np.uint32)
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        context = (key[starts] & np.uint64(1)).astype(bool)
+        del key
+        n = read("n", np.uint8)
+        total = np.add.reduceat(n[order], starts, dtype=np.int64)
+        target = np.add.reduceat((n * read("t", np.uint8))[order], starts, dtype=np.int64)
+        value = np.empty(len(order))
+        value[order] = np.repeat(terms(context, total, target), np.diff(np.r_[starts, len(order)]))
+        value *= n
+        doc = read("at", np.uint16)
         ends = np.cumsum([len(x) // 2 for x in body["at"]])
         sums = []
         for a, z in zip([0, *ends[:-1]], ends, strict=True):
@@ -224,6 +243,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, prior: float =
     order = np.argsort(gram)
     table = spark.sparkContext.broadcast((gram[order], value[order]))
     buckets = max(wide, math.ceil(2 * total / BUCKET))
-    moved = rows.mapInArrow(_moved(buckets, table), "bucket long, batch string, docs binary, words binary, low binary, high binary, at binary, n binary, t binary")
+    moved = rows.mapInArrow(_moved(buckets, table), "bucket long, batch string, docs binary, words binary, low binary, mid binary, at binary, n binary, t binary")
     partial = moved.groupBy("bucket").applyInPandas(_summed(terms), PARTIAL)
     return partial.groupBy("batch").applyInPandas(_scored, "doc_id long, n_words long, score double")
