@@ -12,7 +12,7 @@ ev AS (
   SELECT event_id AS e, user_id, event_type, value,
          epoch_us(ts) + 731::BIGINT * {DAY_US} AS sample_us,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn
-  FROM events WHERE event_id > 0),
+  FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events),
 fr0 AS (
   SELECT *, (CASE WHEN e%13=0 THEN 129600 WHEN e%17=0 THEN 21600 ELSE 1 END)::BIGINT AS delay
   FROM ev),
@@ -249,10 +249,9 @@ BOUNDARY = """
 bd AS (
   SELECT event_id*4 + kind AS attempt_id, kind,
     epoch_us(ts) + 731::BIGINT * 86400000000 + 2000000 AS received_us
-  FROM events JOIN (VALUES (0),(1),(2),(3)) k(kind)
+  FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events JOIN (VALUES (0),(1),(2),(3)) k(kind)
     ON (kind=0 AND event_id%83=0) OR (kind=1 AND event_id%89=0) OR (kind=2 AND event_id%79=0)
-      OR (kind=3 AND event_id%97=0)
-  WHERE event_id > 0),
+      OR (kind=3 AND event_id%97=0)),
 be AS (
   SELECT 'B-' || attempt_id AS event_id, received_us AS occurred_us, 'ground-api' AS service_name,
     CASE WHEN kind=3 THEN 'vendor.authentication.failed'
@@ -322,7 +321,7 @@ LEGACY = f"""
 le AS (
   SELECT event_id AS e, event_type, value, epoch_us(ts) + 731::BIGINT * {DAY_US} AS sample_us,
     (CASE WHEN event_type='signup' THEN 101 WHEN event_id%11=0 THEN 200 ELSE 100 END)::BIGINT AS apid
-  FROM events WHERE event_id > 0),
+  FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events),
 ln AS (SELECT *, row_number() OVER (PARTITION BY apid ORDER BY e) - 1 AS n FROM le),
 lp AS (
   SELECT e AS packet_no, e, event_type, apid, ((n + n // 9) & 16383)::BIGINT AS sequence_count, sample_us,
@@ -379,7 +378,7 @@ cm AS (
       WHEN event_type='purchase' THEN 'SET_WHEEL_RPM' ELSE 'RESET_FAULTS' END AS name,
     CASE WHEN event_type='purchase' THEN (event_id*31)%14001 - 7000 WHEN event_type='click' THEN event_id%6
       ELSE event_id%2 END AS argument, event_id%3=0 AS dry_run
-  FROM events WHERE event_id > 0 AND event_type IN ('click','purchase','view')),
+  FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events WHERE event_type IN ('click','purchase','view')),
 cv0 AS (
   SELECT *, CASE name WHEN 'SET_MODE' THEN 1 WHEN 'SET_WHEEL_RPM' THEN 2 WHEN 'RESET_FAULTS' THEN 3 END::BIGINT AS opcode,
     CASE name WHEN 'SET_MODE' THEN 0 WHEN 'SET_WHEEL_RPM' THEN -6000 WHEN 'RESET_FAULTS' THEN 0 END AS lo,
@@ -557,7 +556,7 @@ ORACLES: dict[str, str] = {
     "scaled_wire_units": """WITH x AS (
         SELECT event_id AS e, (CASE WHEN event_id%7=0 THEN '-' ELSE '' END) || (event_id//10000) || '.' ||
           printf('%04d', event_id%10000) AS display, CASE WHEN event_id%7=0 THEN -1 ELSE 1 END AS sign
-        FROM events WHERE event_id > 0)
+        FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events)
       SELECT e, display, (sign * ((e + 50) // 100))::BIGINT AS centi, (sign * ((e + 5) // 10))::BIGINT AS milli FROM x""",
     "legacy_decode": with_(
         LEGACY_BYTES,
@@ -872,7 +871,7 @@ ic AS (
     epoch_us(ts) + 731::BIGINT * {DAY_US} AS issued_us,
     CASE WHEN event_type='click' THEN 30 ELSE 10 END * 1000000::BIGINT AS life_us,
     CASE WHEN event_type='click' THEN event_id%3 END AS argument
-  FROM events WHERE event_id > 0 AND event_type IN ('click','purchase','view')),
+  FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events WHERE event_type IN ('click','purchase','view')),
 cf AS (
   SELECT *, e%31<>0 AS whole, (CASE WHEN e%37=0 THEN 2 ELSE 1 END) AS version,
     (CASE WHEN e%47=0 THEN 2 ELSE 1 END)::BIGINT AS payload_id, (CASE WHEN e%53=0 THEN 9 ELSE opcode END)::BIGINT AS op,
@@ -999,9 +998,9 @@ ORACLES |= {
         UNION ALL SELECT command_id, last_state, deadline_us, 'TIMED_OUT', 'UNKNOWN' FROM dd WHERE next_us > deadline_us""",
     ),
     "operator_idempotency": """WITH c AS (
-        SELECT event_id*4 + copy AS request_no, event_id AS e, copy FROM events JOIN (VALUES (0),(1),(2)) k(copy)
+        SELECT event_id*4 + copy AS request_no, event_id AS e, copy FROM (SELECT * REPLACE (event_id + 1 AS event_id) FROM events) AS events JOIN (VALUES (0),(1),(2)) k(copy)
           ON copy=0 OR (copy=1 AND event_id%5=0) OR (copy=2 AND event_id%7=0)
-        WHERE event_id > 0 AND event_type='click')
+        WHERE event_type='click')
       SELECT request_no, CASE copy WHEN 0 THEN 'NEW' WHEN 1 THEN 'REPLAY' ELSE 'CONFLICT' END AS intent,
         e*4 AS first_request_no FROM c""",
 }
