@@ -2,8 +2,9 @@
 
 Texts with equal shingle sets form one class, and the class's smallest id stands for it. Classes that
 collide in min-hash bands are compared with one leader per bucket, a star and never all
-pairs; what links becomes a provisional component, cut into groups of some 32 classes. The matrix holds the
-shingles that occur in more than one component. If two sets reach the threshold t, at least l of the
+pairs; what links becomes a provisional component, and what collides, linked or not, a family. Families are cut into groups of some 32
+classes, of one component where that is large. Groups of one family are compared with each other directly, a row for
+each two groups. Across families, the matrix holds the shingles that occur in more than one family. If two sets reach the threshold t, at least l of the
 first ``n - ceil(t n) + l`` shingles of each, in a common order, are in both; l is a twentieth
 of n, so a class meets a member of a group only if t/20 of its size lies in the group's token union within
 these rows of the matrix. For each group that this leaves, the overlap with the whole union bounds every member's
@@ -143,9 +144,9 @@ def _shared_of(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _candidates_of(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(query, group) of the entries of one bucket and how many shingles they share there: rows at every distance
-    within a shingle's run that lie in different components and pass the size filter."""
-    pdf = pdf.sort_values(["token", "component", "doc_id"], kind="stable")
-    token, comp = pdf["token"].to_numpy(), pdf["component"].to_numpy()
+    within a shingle's run that lie in different families and pass the size filter."""
+    pdf = pdf.sort_values(["token", "family", "doc_id"], kind="stable")
+    token, family, comp = pdf["token"].to_numpy(), pdf["family"].to_numpy(), pdf["component"].to_numpy()
     doc, group = pdf["doc_id"].to_numpy(), pdf["grp"].to_numpy()
     size = pdf["size"].to_numpy().astype(np.int64)
     found, step = [], 1
@@ -154,17 +155,17 @@ def _candidates_of(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         rows = rows[rows + step < len(token)]
         rows = rows[token[rows] == token[rows + step]]
         a, b = rows, rows + step
-        ok = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        ok = (family[a] != family[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
         a, b = a[ok], b[ok]
         if len(a):
-            found.append(np.stack([doc[b], comp[a], group[a], size[b], token[a]], axis=1))
+            found.append(np.stack([doc[b], comp[b], group[a], size[b], token[a]], axis=1))
             if sum(map(len, found)) > 4_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         step += 1
     if not found:
-        return pd.DataFrame({k: [] for k in ("query", "component", "grp", "size", "hits")})
-    hits = pd.DataFrame(np.concatenate(found), columns=["query", "component", "grp", "size", "token"]).drop_duplicates()
-    return hits.groupby(["query", "component", "grp", "size"], as_index=False).agg(hits=("token", "size"))
+        return pd.DataFrame({k: [] for k in ("query", "mine", "grp", "size", "hits")})
+    hits = pd.DataFrame(np.concatenate(found), columns=["query", "mine", "grp", "size", "token"]).drop_duplicates()
+    return hits.groupby(["query", "mine", "grp", "size"], as_index=False).agg(hits=("token", "size"))
 
 
 def _arrays(width: int):
@@ -177,40 +178,90 @@ def _arrays(width: int):
     return work
 
 
+def _met(s: np.ndarray, i: int, mine: int, union: np.ndarray, ids, comps, sets, percent: int, known: dict):
+    """Links of one set to the members of a group, at most one to each component; none without opening it if the union's bound rules it out."""
+    if len(sets) > 1 and 100 * np.isin(s, union, assume_unique=True).sum() < percent * len(s):
+        return
+    for j, c, x in zip(ids, comps, sets, strict=True):
+        a, b = _root(known, mine), _root(known, c)
+        if a != b and alike(s, x, percent):
+            known[max(a, b)] = min(a, b)
+            yield i, j
+
+
+def _root(known: dict, x: int) -> int:
+    while x in known:
+        x = known[x]
+    return x
+
+
+def _sets_of(raws) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in raws]
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _opened(percent: int):
-    def work(queries, arrays, members, sets):
-        out = {"a": [], "b": []}
-        for q, raw, ids, raws in zip(queries, arrays, members, sets, strict=True):
-            s = np.frombuffer(raw, np.uint64)
-            parts = [np.frombuffer(x, np.uint64) for x in raws]
-            if len(parts) > 1:
-                bound = np.isin(s, np.unique(np.concatenate(parts)), assume_unique=True).sum()
-                if 100 * bound < percent * len(s):
-                    continue
-            for i, x in zip(ids, parts, strict=True):
-                if alike(s, x, percent):
-                    out["a"].append(q)
-                    out["b"].append(i)
-                    break
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def work(queries, mine, arrays, ids, comps, sets):
+        out = []
+        for q, own, raw, i, c, x in zip(queries, mine, arrays, ids, comps, sets, strict=True):
+            parts = _sets_of(x)
+            union = np.unique(np.concatenate(parts))
+            out += _met(np.frombuffer(raw, np.uint64), q, own, union, i, c, parts, percent, {})
+        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, LINKS)
+
+    return work
+
+
+def _compared(percent: int):
+    """Every set of one group against another group (or its own)."""
+
+    def work(ids, comps, sets, other_ids, other_comps, other_sets):
+        out = []
+        for i, c, x, j, d, y in zip(ids, comps, sets, other_ids, other_comps, other_sets, strict=True):
+            parts, known = _sets_of(y), {}
+            union = np.unique(np.concatenate(parts))
+            for k, mine, s in zip(i, c, _sets_of(x), strict=True):
+                out += _met(s, k, mine, union, j, d, parts, percent, known)
+        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, LINKS)
 
     return work
 
 
+def _fetched(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s) of the ids asked for."""
+    return settle(map_arrow(only(texts, settle(ids.distinct(), "need")).select("doc_id", "text"), _arrays(width), "doc_id long, s binary"), "sets")
+
+
+def _unions(members: DataFrame, arrays: DataFrame) -> DataFrame:
+    """One row per group: at most some 32 members, by the groups' making."""
+    rows = members.join(arrays, "doc_id").groupBy("grp").agg(F.collect_list(F.struct("doc_id", "component", "s")).alias("m"))
+    return rows.select("grp", F.col("m.doc_id").alias("ids"), F.col("m.component").alias("comps"), F.col("m.s").alias("sets"))
+
+
 def _links(texts: DataFrame, asked: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """``asked`` (query, component, grp) against the members in ``groups`` (component, grp, doc_id)."""
-    members = asked.select("component", "grp").distinct().join(groups, ["component", "grp"])
-    need = settle(asked.select(F.col("query").alias("doc_id")).union(members.select("doc_id")).distinct(), "need")
-    arrays = settle(map_arrow(only(texts, need).select("doc_id", "text"), _arrays(width), "doc_id long, s binary"), "sets")
-    unions = members.join(arrays, "doc_id").groupBy("component", "grp").agg(F.collect_list(F.struct("doc_id", "s")).alias("m"))
-    rows = (
-        asked.join(arrays.withColumnRenamed("doc_id", "query"), "query")
-        .join(unions, ["component", "grp"])
-        .select("query", "s", F.col("m.doc_id").alias("members"), F.col("m.s").alias("sets"))
-    )
+    """``asked`` (query, mine, grp) against the members in ``groups`` (grp, doc_id, component)."""
+    members = asked.select("grp").distinct().join(groups, "grp")
+    arrays = _fetched(texts, asked.select(F.col("query").alias("doc_id")).union(members.select("doc_id")), width)
+    rows = asked.join(arrays.withColumnRenamed("doc_id", "query"), "query").join(_unions(members, arrays), "grp").select("query", "mine", "s", "ids", "comps", "sets")
     return settle(map_arrow(rows, _opened(percent), "a long, b long"), "links")
 
 
+def _family_links(texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the groups of a family, where these hold more than one component."""
+    blocks = groups.groupBy("family", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = blocks.groupBy("family").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("family")
+    blocks = settle(blocks.join(mixed, "family"), "blocks")
+    other = blocks.select("family", F.col("grp").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = blocks.join(other, "family").where("grp <= other and not (low = high and low2 = high2 and low = low2)").select("grp", "other")
+    members = blocks.select("grp").join(groups.select("grp", "doc_id", "component"), "grp")
+    unions = settle(_unions(members, _fetched(texts, members.select("doc_id"), width)), "unions")
+    second = unions.select(F.col("grp").alias("other"), F.col("ids").alias("ids2"), F.col("comps").alias("comps2"), F.col("sets").alias("sets2"))
+    rows = pairs.join(unions, "grp").join(second, "other").select("ids", "comps", "sets", "ids2", "comps2", "sets2")
+    return settle(map_arrow(rows, _compared(percent), "a long, b long"), "links")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document id; see the module's text."""
     spark = docs.sparkSession
@@ -229,22 +280,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     leaders = banded.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     stars = settle(banded.join(leaders, "band").where("doc_id <> leader").select("doc_id", "leader").distinct(), "stars")
     texts = docs.where("doc_id is not null")
-    asked = stars.select(F.col("doc_id").alias("query"), F.col("leader").alias("component"), F.lit(0).cast("long").alias("grp"))
-    own = stars.select(F.col("leader").alias("component"), F.lit(0).cast("long").alias("grp"), F.col("leader").alias("doc_id")).distinct()
+    asked = stars.select(F.col("doc_id").alias("query"), F.col("doc_id").alias("mine"), F.col("leader").alias("grp"))
+    own = stars.select(F.col("leader").alias("grp"), F.col("leader").alias("doc_id"), F.col("leader").alias("component")).distinct()
     linked = _links(texts, asked, own, width, percent)
     start = components(linked)
+    families = components(stars.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
 
-    placed = reps.join(start.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component")
+    placed = (
+        reps.join(start.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(families, "doc_id", "left")
+        .select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("family", "doc_id").alias("family"))
     )
     sizes = start.groupBy("component").agg(F.count("*").alias("size"))
+    placed = placed.join(sizes, "component", "left").withColumn("large", F.coalesce(F.col("size") > GROUP, F.lit(False)))
+    rest = placed.where("not large").groupBy("family").agg(F.count("*").alias("rest")).where(F.col("rest") > 1)
+    # large components in groups of their own, what is left of a family in common ones
+    alone = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / GROUP)))
+    common_ones = F.xxhash64("family", F.lit("rest"), F.pmod(F.xxhash64("component"), F.ceil(F.coalesce("rest", F.lit(1)) / GROUP)))
     groups = settle(
-        placed.join(sizes, "component", "left").select(
-            "doc_id", "component",
-            F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / GROUP))).otherwise(0).cast("long").alias("grp"),
-        ),
-        "groups",
+        placed.join(rest, "family", "left").select("doc_id", "component", "family", F.when(F.col("large"), alone).otherwise(common_ones).alias("grp")), "groups"
     )
+    within = _family_links(texts, groups, width, percent)
 
     total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * COUNTED / BUCKET))
@@ -255,14 +310,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     entries = map_arrow(texts, _entries(width, percent, buckets, common), "bucket long, token binary, doc binary, size binary")
     shared = entries.groupBy("bucket").applyInPandas(_shared_of, "token long, doc_id long, size int")
     matrix = shared.join(groups, "doc_id").dropDuplicates(["token", "doc_id"])
-    spread = matrix.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    spread = matrix.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high")
     crossing = matrix.join(spread.select("token"), "token").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    met = crossing.groupBy("bucket").applyInPandas(lambda pdf: _candidates_of(pdf, percent), "query long, component long, grp long, size long, hits long")
+    met = crossing.groupBy("bucket").applyInPandas(lambda pdf: _candidates_of(pdf, percent), "query long, mine long, grp long, size long, hits long")
     least = F.greatest(F.lit(1), F.floor(F.col("size") * percent / 100 / MET))
-    asked = met.groupBy("query", "component", "grp", "size").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least)
-    asked = settle(asked.select("query", "component", "grp").distinct(), "asked")
-    found = _links(texts, asked, groups.select("component", "grp", "doc_id"), width, percent)
-    ends = components(linked.unionByName(found).unionByName(copies))
+    asked = met.groupBy("query", "mine", "grp", "size").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least)
+    asked = settle(asked.select("query", "mine", "grp").distinct(), "asked")
+    found = _links(texts, asked, groups.select("grp", "doc_id", "component"), width, percent)
+    ends = components(linked.unionByName(within).unionByName(found).unionByName(copies))
     sized = described.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     return sized.join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
