@@ -34,7 +34,7 @@ def rendered(parts: Column) -> Column:
 
 
 def masks(parts: Column) -> Column:
-    return F.transform(parts, lambda t: F.when(t["role"] == "assistant", 1).otherwise(0))
+    return F.transform(parts, lambda t: F.when(t["role"] == "assistant", F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -52,9 +52,9 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
     n = F.col("n_prompt_turns")
     cut = pairs.withColumn("n_prompt_turns", common_prefix(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(F.col(c), n + 1, F.greatest(F.size(c) - n, F.lit(0)))
-    none = F.array_repeat(F.lit(0), n)
+    none = F.array_repeat(F.lit(0).cast("long"), n)
     return cut.select(
-        "pair_id", "n_prompt_turns", rendered(F.slice("chosen", F.lit(1), n)).alias("prompt"),
+        "pair_id", n.cast("long").alias("n_prompt_turns"), rendered(F.slice("chosen", F.lit(1), n)).alias("prompt"),
         rendered(rest("chosen")).alias("chosen_completion"), rendered(rest("rejected")).alias("rejected_completion"),
         F.concat(none, masks(rest("chosen"))).alias("chosen_mask"), F.concat(none, masks(rest("rejected"))).alias("rejected_mask"),
     )
@@ -90,8 +90,8 @@ r AS (SELECT p.conv_id, p.i, p.role, p.text, CASE WHEN p.i = l.last THEN o.other
       FROM p JOIN l USING (conv_id) JOIN o USING (conv_id)),
 d AS (SELECT conv_id, coalesce(min(CASE WHEN text <> rejected THEN i END) - 1, count(*)) AS n FROM r GROUP BY conv_id),
 s AS (SELECT r.*, d.n, '<|' || role || '|>' || chr(10) || text || chr(10) AS x, '<|' || role || '|>' || chr(10) || rejected || chr(10) AS y,
-             CASE WHEN role = 'assistant' AND i > n THEN 1 ELSE 0 END AS mask FROM r JOIN d USING (conv_id))
-SELECT conv_id AS pair_id, CAST(any_value(n) AS INTEGER) AS n_prompt_turns,
+             CASE WHEN role = 'assistant' AND i > n THEN 1::BIGINT ELSE 0::BIGINT END AS mask FROM r JOIN d USING (conv_id))
+SELECT conv_id AS pair_id, CAST(any_value(n) AS BIGINT) AS n_prompt_turns,
        coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt,
        coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE i > n), '') AS chosen_completion,
        coalesce(string_agg(y, '' ORDER BY i) FILTER (WHERE i > n), '') AS rejected_completion,
