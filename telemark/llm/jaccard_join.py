@@ -37,8 +37,9 @@ from telemark.session import settle
 #: Min-hashes of the grouping bands, and rows per band.
 HASHES, BAND_ROWS = 32, 4
 GROUP = 32
-#: Shingles below this share of the hash range can stand in a prefix, but for very short texts.
-COUNTED = 0.35
+#: Shingles below this share of the hash range are counted for the order: a prefix takes a quarter of a text, and
+#: reaches past that share only where more than three fifths of the text are common shingles. It costs time, never a link.
+COUNTED = 0.62
 #: The part of a set that must be met in the matrix.
 MET = 20
 #: A shingle of at least so many classes goes to the end of the order; the list's largest size (2 MB).
