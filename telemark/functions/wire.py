@@ -108,6 +108,11 @@ def hex_digits(value: Column, digits: int) -> Column:
     return F.lpad(F.hex(value), digits, "0")
 
 
+def two_digits(value: Column) -> Column:
+    """NULL outside 0..99, which two digits cannot hold."""
+    return F.when(value.between(0, 99), F.lpad(value.cast("string"), 2, "0"))
+
+
 def _read_words(df: DataFrame, raw: str) -> DataFrame:
     whole = F.when(F.length(raw) == FRAME_SIZE, F.col(raw))
     return compute_once(
@@ -219,7 +224,7 @@ def encode_frames(df: DataFrame, out: str = "raw_body", received: str | None = N
 def packet_id(payload_id: Column | str, boot_id: Column | str, sequence: Column | str) -> Column:
     return F.concat(
         F.lit("TLM-P"),
-        F.lpad(col_of(payload_id).cast("string"), 2, "0"),
+        two_digits(col_of(payload_id)),
         F.lit("-B"),
         hex_digits(col_of(boot_id), 8),
         F.lit("-S"),
@@ -341,7 +346,7 @@ def iso_time(timestamp_us: Column | str) -> Column:
 
 
 def payload_label(payload_id: Column | str) -> Column:
-    return F.concat(F.lit("PAYLOAD-"), F.lpad(col_of(payload_id).cast("string"), 2, "0"))
+    return F.concat(F.lit("PAYLOAD-"), two_digits(col_of(payload_id)))
 
 
 def parsed_identifiers() -> Column:

@@ -161,3 +161,12 @@ def test_display_forms(spark):
     assert tuple(row) == (
         "2026-07-16T12:00:00Z", "2026-07-16T12:00:00.000250Z", "PAYLOAD-01", True, False, False
     )
+
+
+def test_payloads_beyond_two_digits_have_no_id(spark):
+    row = spark.range(1).select(
+        *(wire.packet_id(F.lit(p), F.lit(1), F.lit(1)).alias(f"p{p}") for p in (0, 99, 100, 255)),
+        wire.payload_label(F.lit(100)).alias("label"),
+    ).first()
+    assert row["p0"] == "TLM-P00-B00000001-S00000001" and row["p99"] == "TLM-P99-B00000001-S00000001"
+    assert row["p100"] is None and row["p255"] is None and row["label"] is None
