@@ -634,7 +634,7 @@ def telemetry_series(t):
 def alert_rules(t):
     samples = t.health_samples()
     return metrics.alert_rules(
-        samples, legacy.sequence_gaps(t.legacy_packets()), legacy.alerts(samples)
+        samples, legacy.sequence_gaps(t.legacy_packets()), legacy.alerts(samples), AS_OF_US
     )
 
 
@@ -777,7 +777,7 @@ def delivery_stream(t):
     def sink(batch, batch_id):
         batch.select(*columns).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
-    source = ledger.read_deliveries(t.spark, t.folder(t.deliveries()))
+    source = ledger.read_deliveries(t.spark, t.arrivals())
     ledger.run_available(ledger.delivery_stream(source), sink, f"{out}/checkpoint")
     return t.spark.read.parquet(f"{out}/rows").select(*columns)
 

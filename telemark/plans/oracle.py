@@ -835,7 +835,9 @@ ORACLES: dict[str, str] = {
         "SELECT rule, severity, label, (t0 * 5000000)::BIGINT AS start_us, (t1 * 5000000)::BIGINT AS end_us FROM ("
         + """SELECT 'TelemetryStopped' AS rule, 'critical' AS severity, 'health' AS label, p + 18 AS t0, tick AS t1 FROM (
             SELECT tick, lag(tick) OVER (ORDER BY tick) AS p FROM (
-              SELECT DISTINCT (received_ns + 4999999999) // 5000000000 AS tick FROM hs)) WHERE p + 18 < tick UNION ALL """
+              SELECT DISTINCT (received_ns + 4999999999) // 5000000000 AS tick FROM hs)) WHERE p + 18 < tick UNION ALL
+          SELECT 'TelemetryStopped', 'critical', 'health', p + 18, NULL FROM (
+            SELECT max((received_ns + 4999999999) // 5000000000) AS p FROM hs) WHERE (p + 18) * 5000000 <= 1769904000000000 UNION ALL """
         + _islands("TelemetrySequenceGap", "warning", "apid::VARCHAR", "(SELECT * FROM gaps WHERE gap > 0)", "received_ns", 60)
         + " UNION ALL "
         + _islands("CriticalVehicleLimit", "critical", "parameter", "(SELECT * FROM al WHERE severity='CRITICAL')", "created_ns", 12)

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from telemark.operators import audit, identity, jobs, legacy, results, sequence
 from telemark.session import settle, shared_folder, use_utc
-from telemark.sources import command_sample, sample
+from telemark.sources import command_sample, landing, sample
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_LANDED: dict[tuple[str, str], str] = {}
 
 
 class Tables:
@@ -33,9 +34,14 @@ class Tables:
         # a fresh plan over the same files, so that self-joins resolve
         return _WRITTEN[key].select("*")
 
-    def folder(self, table: DataFrame) -> str:
-        """Where a written table's files lie, for stream readers."""
-        return table.inputFiles()[0].rsplit("/", 1)[0]
+    def arrivals(self) -> str:
+        """Folder of the deliveries in arrival order, for stream readers."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _LANDED:
+            path = self.scratch("arrivals")
+            landing.land_in_order(self.deliveries(), path)
+            _LANDED[key] = path
+        return _LANDED[key]
 
     def scratch(self, name: str) -> str:
         return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"

@@ -31,7 +31,9 @@ IDENTIFIED = struct(
 )
 
 
-def read_deliveries(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+def read_deliveries(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+    """Files landed by ``landing.land_in_order``. A key has at most ``files_per_trigger`` files'
+    rows in one micro-batch; the number decides memory and pace, never the answer."""
     return (
         spark.readStream.schema(DELIVERY)
         .option("maxFilesPerTrigger", files_per_trigger)
@@ -194,8 +196,10 @@ def bulk_sink(root: str):
     operators on top of the batches before it; no Python worker takes part.
 
     For few large batches, where one pass over the stored keys costs less than a
-    state call per row. Outcome and packets of a batch own one folder each and
-    read only folders of earlier batches, so a repeated batch gives the same.
+    state call per row. Each table of a batch owns one folder and a batch
+    reads only folders of earlier batches, so a repeated batch gives the same.
+    The sequence state after a batch is stored and carried on from; packets that
+    contradict it go to ``state_conflicts``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -218,10 +222,16 @@ def bulk_sink(root: str):
         accepted = spark.read.parquet(path).where(
             "request_state = 'NEW' and packet_state = 'PACKET'"
         )
-        before = earlier("packets")
-        state = None if before is None else sequence.sequence_state(before)
+        folders = {n: f"{root}/{n}/batch_id={batch_id}" for n in ("packets", "sequence_state", "state_conflicts")}
+        state = None
+        if batch_id:
+            state = spark.read.parquet(f"{root}/sequence_state/batch_id={batch_id - 1}")
+            sequence.state_conflicts(accepted, state).write.mode("overwrite").parquet(folders["state_conflicts"])
         sequence.sequence_disposition(accepted, state, settled=True).write.mode(
             "overwrite"
-        ).parquet(f"{root}/packets/batch_id={batch_id}")
+        ).parquet(folders["packets"])
+        disposed = spark.read.parquet(folders["packets"])
+        merged = sequence.sequence_state(disposed) if state is None else sequence.merged_state(state, disposed)
+        merged.write.mode("overwrite").parquet(folders["sequence_state"])
 
     return write

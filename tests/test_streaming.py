@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telemark.operators import identity, legacy, metrics, sequence
+from telemark.sources import landing
 from telemark.streaming import ledger
 
 OUTCOME = [
@@ -62,6 +63,35 @@ def test_delivery_stream_equals_batch(spark, tables, tmp_path):
     assert spark.read.parquet(f"{root}/receipts").count() == receipts
 
 
+def test_answer_does_not_depend_on_files_per_trigger(spark, tables, tmp_path):
+    deliveries, source = tables.deliveries(), str(tmp_path / "in")
+    unordered = str(tmp_path / "unordered")
+    deliveries.repartition(20).write.parquet(unordered)
+    landing.land_in_order(spark.read.parquet(unordered), source, deliveries.count() // 20)
+    batch = identity.delivery_outcome(identity.identify(deliveries))
+    disposed = sequence.sequence_disposition(
+        batch.where("request_state = 'NEW' and packet_state = 'PACKET'")
+    ).select("delivery_id", "sequence_disposition", "missing_before")
+    want = sorted(map(tuple, batch.select(*OUTCOME).join(disposed, "delivery_id", "left").collect()), key=str)
+    wide = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for per_trigger in (1, 3, 1000):
+            out, batches = str(tmp_path / f"out-{per_trigger}"), []
+
+            def sink(rows, batch_id):
+                rows.select(*OUTCOME, "sequence_disposition", "missing_before").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+                batches.append(batch_id)
+
+            stream = ledger.delivery_stream(ledger.read_deliveries(spark, source, per_trigger))
+            ledger.run_available(stream, sink, str(tmp_path / f"ck-{per_trigger}"))
+            assert len(batches) >= 20 // per_trigger
+            got = spark.read.parquet(out).drop("batch_id")
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wide)
+
+
 def test_repeated_batch_leaves_tables_unchanged(spark, tables, tmp_path):
     outcome = identity.delivery_outcome(identity.identify(tables.deliveries())).withColumns(
         {"sequence_disposition": F.lit("FIRST"), "missing_before": F.lit(0)}
@@ -123,3 +153,7 @@ def test_bulk_loads_equal_one_batch(spark, tables, tmp_path):
     assert sorted(map(tuple, packets.collect()), key=str) == sorted(
         map(tuple, disposed.collect()), key=str
     )
+    last = got.agg(F.max("batch_id")).first()[0]
+    state = spark.read.parquet(f"{root}/sequence_state/batch_id={last}")
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, sequence.sequence_state(spark.read.parquet(f"{root}/packets")).select(*state.columns).collect()))
+    assert spark.read.parquet(f"{root}/state_conflicts").count() == 0
