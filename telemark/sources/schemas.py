@@ -27,10 +27,6 @@ DELIVERY = struct(
     "delivery_id bigint, received_us bigint, request_id string, content_type string, "
     "raw_body binary"
 )
-BOUNDARY_ATTEMPT = struct(
-    "attempt_id bigint, received_us bigint, request_id string, token_ok boolean, "
-    "declared_length string, raw_body binary"
-)
 RECEIPT = struct(
     "receipt_id bigint, presented_request_id string, canonical_request_id string, "
     "identity string, content_type string, received_us bigint, raw_body binary, "
@@ -70,17 +66,7 @@ AUDIT = struct(
 LEGACY_PACKET = struct(
     "packet_no bigint, received_ns bigint, source string, raw_packet binary"
 )
-HEALTH_DATA = struct(
-    "timestamp_ns bigint, bus_voltage_v double, battery_temp_c double, wheel_rpm bigint, "
-    "mode bigint, fault_flags bigint"
-)
-ACK_DATA = struct("command_id bigint, status bigint, applied_value bigint, timestamp_ns bigint")
-ENVELOPE_TEXT = struct("subject string, packet_no bigint, value string")
 COMMAND = struct("id bigint, created_us bigint, name string, argument bigint, dry_run boolean")
-COMMAND_EVENT = struct(
-    "command_id bigint, event_order bigint, at_us bigint, subject string, status string, "
-    "detail string"
-)
 TABLES = {
     "deliveries": DELIVERY,
     "receipts": RECEIPT,

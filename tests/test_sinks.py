@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from telemark.operators import identity
-from telemark.sources import readers, sinks
+from telemark.operators import identity, legacy
+from telemark.sources import landing, readers, sinks
 
 
 def test_append_once_and_prune(spark, tables, tmp_path):
     root = str(tmp_path)
     receipts = identity.receipts(tables.outcome())
-    sinks.append_new(receipts, root, "receipts", "receipt_id")
-    sinks.append_new(receipts, root, "receipts", "receipt_id")
+    sinks.append_new(receipts, root, "receipts")
+    sinks.append_new(receipts, root, "receipts")
     stored = readers.read_table(spark, root, "receipts")
     assert stored.count() == receipts.count()
     raw = spark.read.parquet(f"{root}/receipts")
@@ -21,6 +23,45 @@ def test_append_once_and_prune(spark, tables, tmp_path):
     assert "PartitionFilters: [isnotnull(receipt_date" in plan
 
 
+def test_key_twice_in_a_load_is_stored_once(spark, tables, tmp_path):
+    root = str(tmp_path)
+    samples = tables.health_samples()
+    for name, rows in (("health_samples", samples), ("alerts", legacy.alerts(samples))):
+        for _ in range(2):
+            sinks.append_new(rows.unionByName(rows), root, name)
+        stored = spark.read.parquet(f"{root}/{name}")
+        assert stored.count() == rows.dropDuplicates(list(sinks.STORED[name][1])).count()
+        days = stored.select("receipt_date").distinct().count()
+        assert len(stored.inputFiles()) <= days + 4  # shuffle partitions, not tasks times dates
+
+
+def test_a_later_load_adds_only_what_is_new(spark, tables, tmp_path):
+    receipts = identity.receipts(tables.outcome())
+    sinks.append_new(receipts.where("receipt_id % 3 = 0"), str(tmp_path), "receipts")
+    sinks.append_new(receipts, str(tmp_path), "receipts")
+    stored = spark.read.parquet(f"{tmp_path}/receipts")
+    assert stored.count() == stored.select("receipt_id").distinct().count() == receipts.count()
+
+
+def test_landed_files_are_in_arrival_order(spark, tables, tmp_path):
+    path = f"{tmp_path}/in"
+    shuffled = tables.deliveries().orderBy(F.rand(3))
+    cut = shuffled.approxQuantile("received_us", [0.5], 0.0)[0]
+    made = landing.land_in_order(shuffled.where(F.col("received_us") <= cut), path, 100)
+    made += landing.land_in_order(shuffled.where(F.col("received_us") > cut), path, 100)
+    files = sorted(Path(path).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == made >= 10
+    assert [f.name for f in files] == sorted(f.name for f in files)
+    assert len({f.stat().st_mtime_ns for f in files}) == made
+    seen = [tuple(r) for f in files for r in spark.read.parquet(str(f)).select(*landing.ORDER).collect()]
+    assert seen == sorted(seen) and len(seen) == tables.deliveries().count()
+
+
+def test_nothing_landed(spark, tables, tmp_path):
+    landing.land_in_order(tables.deliveries().limit(0), f"{tmp_path}/in")
+    assert spark.read.schema(tables.deliveries().schema).parquet(f"{tmp_path}/in").count() == 0
+
+
 def test_deliveries_from_messages(spark):
     messages = spark.createDataFrame(
         [(bytearray(b"\1\2"), 3, 7, [("X-Request-ID", bytearray(b"r")), ("Content-Type", bytearray(b"text/plain"))])],
