@@ -38,20 +38,6 @@ FAULT_NAMES = (
     (0x10, "VOLTAGE_SENSOR_FAULT"),
     (0x20, "INTERNAL_PAYLOAD_FAULT"),
 )
-REJECTION_REASONS = (
-    "EMPTY_BODY",
-    "UNSUPPORTED_PROTOCOL_VERSION",
-    "INVALID_FRAME_LENGTH",
-    "CRC_MISMATCH",
-    "UNSUPPORTED_PAYLOAD_ID",
-    "INVALID_BOOT_ID",
-    "TIMESTAMP_BEFORE_PROJECT_EPOCH",
-    "TIMESTAMP_TOO_FAR_IN_FUTURE",
-    "TEMPERATURE_OUT_OF_RANGE",
-    "VOLTAGE_OUT_OF_RANGE",
-    "INVALID_OPERATING_MODE",
-    "RESERVED_FAULT_BITS_SET",
-)
 PACKET_ID_PATTERN = r"^TLM-P[0-9]{2}-B[0-9A-F]{8}-S[0-9A-F]{8}\z"
 WHITESPACE = " \t\r\n\x0b\x0c"
 UUID4_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"

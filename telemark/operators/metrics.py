@@ -176,12 +176,17 @@ def _active_ticks(events: DataFrame, at_ns: str, rule: str, severity: str, label
     ).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
-def alert_rules(samples: DataFrame, gaps: DataFrame, alerts: DataFrame) -> DataFrame:
+def alert_rules(
+    samples: DataFrame, gaps: DataFrame, alerts: DataFrame, as_of_us: int | None = None
+) -> DataFrame:
     """Firing intervals [start, end) of the three rules.
 
     TelemetryStopped needs a rate of zero held for 30 s; with a one-minute rate
     window that is 90 s after the tick of the last frame. The other rules fire
     while their window holds any increase; overlapping windows are merged.
+
+    With ``as_of_us``, telemetry that stopped for good and is still missing then
+    gives a TelemetryStopped row without an end.
     """
     order = Window.partitionBy("rule", "severity", "label").orderBy("tick")
     quiet = RATE_WINDOW_S // STEP_S + HOLD_S // STEP_S
@@ -191,6 +196,10 @@ def alert_rules(samples: DataFrame, gaps: DataFrame, alerts: DataFrame) -> DataF
         .where(F.col("_from") < F.col("tick"))
         .select("rule", "severity", "label", F.col("_from").alias("start"), F.col("tick").alias("end"))
     )
+    if as_of_us is not None:
+        last = frames.groupBy("rule", "severity", "label").agg((F.max("tick") + quiet).alias("start"))
+        running = last.where(F.col("start") * (STEP_S * SECOND_US) <= as_of_us)
+        stopped = stopped.unionByName(running.withColumn("end", F.lit(None).cast("bigint")))
 
     def islands(ticks: DataFrame, width: int) -> DataFrame:
         opens = F.coalesce(F.col("tick") - F.lag("tick").over(order) > width, F.lit(True))

@@ -88,25 +88,33 @@ FOREIGN_KEYS = (
 def fk_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Keys that child rows name and no parent has, with the number of rows.
 
-    Child keys are counted before the anti join, so a key named by very many
-    rows crosses the shuffle once per map task.
+    Each parent meets the keys of all its children in one anti join. They are
+    counted before it, so a key named by very many rows crosses the shuffle once
+    per map task; a child with several columns is read once.
     """
-    found = []
+    by_parent: dict[tuple[str, str], dict[str, list[tuple[str, str]]]] = {}
     for name, child, column, parent, key in FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
-        named = (
-            tables[child]
-            .where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("_key"))
+        if child in tables and parent in tables:
+            by_parent.setdefault((parent, key), {}).setdefault(child, []).append((name, column))
+    found = []
+    for (parent, key), children in by_parent.items():
+        named = reduce(
+            DataFrame.unionByName,
+            [
+                tables[child].select(
+                    F.inline(F.array(*(F.struct(F.lit(n).alias("constraint_name"), F.col(c).alias("_key")) for n, c in columns)))
+                )
+                for child, columns in children.items()
+            ],
+        )
+        counted = (
+            named.where(F.col("_key").isNotNull())
+            .groupBy("constraint_name", "_key")
             .agg(F.count(F.lit(1)).alias("child_rows"))
         )
-        parents = tables[parent].select(F.col(key).alias("_key"))
         found.append(
-            named.join(parents, "_key", "left_anti").select(
-                F.lit(name).alias("constraint_name"),
-                F.col("_key").cast("string").alias("missing_key"),
-                "child_rows",
+            counted.join(tables[parent].select(F.col(key).alias("_key")), "_key", "left_anti").select(
+                "constraint_name", F.col("_key").cast("string").alias("missing_key"), "child_rows"
             )
         )
     return reduce(DataFrame.unionByName, found)

@@ -135,6 +135,13 @@ def test_alert_rules(spark):
         ("CriticalVehicleLimit", 5, 125), ("TelemetrySequenceGap", 10, 500), ("TelemetrySequenceGap", 900, 1200),
         ("TelemetryStopped", 95, 100), ("TelemetryStopped", 190, 400)]
 
+    def running(as_of):
+        rows = metrics.alert_rules(samples, gaps, alerts, as_of * 1000000).where("end_us is null")
+        return [(r.rule, r.start_us // 1000000) for r in rows.collect()]
+
+    assert running(489) == []
+    assert running(490) == [("TelemetryStopped", 490)]
+
 
 def test_latency_never_below_zero(spark):
     df = spark.createDataFrame([(1000, 5000), (9_000_000, 0), (5, -2**63)], "received_ns bigint, timestamp_ns bigint")
