@@ -1,9 +1,11 @@
 """Paragraph dedup: min-hash bands find paragraphs that look alike, exact Jaccard decides, components name the removals.
 
 A paragraph is a line of at least ``min_words`` words (three shingle widths unless said otherwise).
-Paragraphs with the same shingle set are one class. Classes that collide in a band are compared with the first
-``LEADERS`` of the bucket in an order of the band's own: every pair of a small bucket, a few
-stars over a large one. The bands are tuned so that a pair at the threshold collides with
+Paragraphs with the same shingle set are one class. Classes that collide in a band are first compared with the
+first ``LEADERS`` of the bucket in an order of the band's own: every pair of a small bucket, a few
+stars over a large one. What the stars left of a large bucket in different components is cut into groups of some
+``GROUP`` classes, and each two groups are compared exactly, so every pair that collides is compared or
+already connected. The bands are tuned so that a pair at the threshold collides with
 probability ``RECALL`` at least. In each component the first occurrence by (doc_id, text, place) stays.
 
 Defined results: null and empty texts and short lines have no paragraphs; rows with a null id keep
@@ -28,6 +30,9 @@ from telemark.session import settle
 
 WIDTH, PERCENT, MIN_WORDS = 5, 80, 15
 RECALL, MOST_HASHES, LEADERS = 0.999, 48, 4
+#: Classes of a bucket compared in one block, and shingles counted at once in it.
+GROUP, SLAB = 128, 4096
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def tuned(percent: int = PERCENT, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -79,13 +84,76 @@ def _verified(percent: int):
     def work(a, b, x, y):
         ok = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
         yield pa.RecordBatch.from_pydict(
-            {"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]},
-            pa.schema([("a", pa.int64()), ("b", pa.int64())]),
+            {"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]}, LINKS
         )
 
     return work
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set of ``x`` shares with each of ``y``."""
+    tokens = [np.concatenate(x), np.concatenate(y)]
+    owners = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    both = np.intersect1d(*tokens)
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, len(both), SLAB):
+        part, tables = both[at : at + SLAB], []
+        for token, owner, z in zip(tokens, owners, (x, y), strict=True):
+            place = np.searchsorted(part, token)
+            place[place == len(part)] = 0
+            hit = part[place] == token
+            table = np.zeros((len(z), len(part)), np.float32)
+            table[owner[hit], place[hit]] = 1
+            tables.append(table)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def _compared(percent: int):
+    """Links of every class of one group with every class of another (or its own), one for each two components."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, comps, raws, other_ids, other_comps, other_raws = (c[0].as_py() for c in batch.slice(at, 1).columns)
+                x, y = ([np.frombuffer(s, np.uint64) for s in r] for r in (raws, other_raws))
+                n, both = np.add.outer([len(s) for s in x], [len(s) for s in y]), _overlaps(x, y)
+                c, d = np.array(comps), np.array(other_comps)
+                i, j = np.nonzero((100 * both >= percent * (n - both)) & (c[:, None] != d))
+                ends = np.stack([np.minimum(c[i], d[j]), np.maximum(c[i], d[j])], axis=1)
+                first = np.unique(ends, axis=0, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i[first]]), pa.array(np.array(other_ids)[j[first]])], schema=LINKS)
+
+    return run
+
+
+def _rest_links(banded: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside the buckets of more than ``LEADERS`` + 1 classes between what the stars left in different components."""
+    placed = banded.join(components(linked).withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = (
+        placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where((F.col("n") > LEADERS + 1) & (F.col("low") < F.col("high"))).select("band")
+    )
+    placed = settle(placed.join(mixed, "band").select("band", "class", "component"), "placed")
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
+    large = sizes.where(F.col("size") > GROUP)
+    rest = sizes.where(F.col("size") <= GROUP).groupBy("band").agg(F.sum("size").alias("rest"))
+    # large components in groups of their own, what is left of a bucket in common ones
+    alone = F.xxhash64("band", "component", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / GROUP)))
+    common = F.xxhash64("band", F.lit("rest"), F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / GROUP)))
+    groups = placed.join(large, ["band", "component"], "left").join(rest, "band", "left").select(
+        "band", "class", "component", F.when(F.col("size").isNotNull(), alone).otherwise(common).alias("grp")
+    )
+    unions = groups.join(sets, "class").groupBy("band", "grp").agg(F.collect_list(F.struct("class", "component", "s")).alias("m"))
+    unions = settle(unions.select("band", "grp", F.col("m.class").alias("ids"), F.col("m.component").alias("comps"), F.col("m.s").alias("sets")), "unions")
+    blocks = unions.select("band", "grp", F.array_min("comps").alias("low"), F.array_max("comps").alias("high"))
+    other = blocks.select("band", F.col("grp").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = blocks.join(other, "band").where("grp <= other and not (low = high and low2 = high2 and low = low2)").select("band", "grp", "other")
+    second = unions.select("band", F.col("grp").alias("other"), F.col("ids").alias("ids2"), F.col("comps").alias("comps2"), F.col("sets").alias("sets2"))
+    rows = pairs.join(unions, ["band", "grp"]).join(second, ["band", "other"]).select("ids", "comps", "sets", "ids2", "comps2", "sets2")
+    return settle(rows.mapInArrow(_compared(percent), "a long, b long"), "links")
+
+
 def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per paragraph that has a like: (doc_id, version, line, start, length, cluster, copies, kept).
 
@@ -117,7 +185,8 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, percent: int = PERC
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("x")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("s").alias("y")), "b"
     ).select("a", "b", "x", "y")
-    joined = components(settle(map_arrow(both, _verified(percent), "a long, b long"), "links"))
+    linked = settle(map_arrow(both, _verified(percent), "a long, b long"), "links")
+    joined = components(linked.unionByName(_rest_links(banded, linked, sets, percent)))
     placed = places.join(joined.withColumnRenamed("id", "class"), "class", "left").withColumn("cluster", F.coalesce("component", "class"))
     first = placed.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "version", "line")).alias("first")).where("copies > 1")
     return placed.join(first, "cluster").select(

@@ -129,6 +129,30 @@ def test_paragraphs_that_repeat(spark):
     assert paragraphs.repeated_paragraphs(table(spark, [])).count() == 0
 
 
+def test_large_bucket_is_compared_beyond_its_leaders(spark):
+    rng = random.Random(11)
+    form, rows, links = made(rng, 64), [], []
+    for k in range(0, 1600, 2):
+        # 60 shingles of the form and 10 of its own: 0.75 to the others, 0.84 to its pair
+        own = [f"p{k}x{i}" for i in range(4)]
+        for d in (k, k + 1):
+            rows.append((d, " ".join([form, *own, *(f"d{d}x{i}" for i in range(6))])))
+        links.append((k, k + 1))
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert all(alike(sets[a], sets[b]) for a, b in links) and not alike(sets[0], sets[2])
+    clusters = {}
+    for r in paragraphs.repeated_paragraphs(table(spark, rows)).collect():
+        clusters.setdefault(r.cluster, set()).add(r.doc_id)
+    found = {tuple(sorted(c)) for c in clusters.values()}
+    assert found <= set(links) and len(found) >= 0.995 * len(links)
+
+
+def test_overlaps_across_slabs():
+    rng = np.random.default_rng(3)
+    x, y = ([np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 9_000, 300), (12_000, 40)))
+    assert paragraphs._overlaps(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_bands_reach_the_recall():
     n, rows = paragraphs.tuned(80, 0.999, 48)
     assert n * rows <= 48 and 1 - (1 - 0.8**rows) ** n >= 0.999
