@@ -8,7 +8,14 @@ stars over a large one. What the stars left of a large bucket in different compo
 already connected. The bands are tuned so that a pair at the threshold collides with
 probability ``RECALL`` at least. In each component the first occurrence by (doc_id, text, place) stays.
 
-Defined results: null and empty texts and short lines have no paragraphs; rows with a null id keep
+Passages of at least ``PASSAGE`` words are found whatever the line breaks, in what the line stage leaves: every run of
+``PASSAGE`` words that stands in an earlier place too is a repeat. Texts are winnowed first: of each ``PASSAGE`` words the
+smallest hash of its runs of ``GRAM`` words is selected, and only windows whose selected hash occurs twice are
+written out and counted, all of them. Passages are equal word by word; likeness is for lines only.
+
+Defined results: null and empty texts have no paragraphs, short lines only as parts of passages; a text that
+goes on repeating itself within ``PASSAGE`` words is one place, not many; a passage does not reach across a line that is cut,
+and the white space around a cut passage stays; rows with a null id keep
 their text and take part in nothing; equal rows of one id are one document, rows of one id with
 different texts are told apart by their text; a text may become empty but its row stays; an
 empty table gives an empty result; extra columns are handed through unread.
@@ -17,6 +24,7 @@ empty table gives an empty result; extra columns are handed through unread.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.llm.components import components
-from telemark.llm.rows import alike, bands, map_arrow, only, permuted, shingles, words
+from telemark.llm.rows import alike, bands, map_arrow, mixed, only, permuted, shingles, words
 from telemark.session import settle
 
 WIDTH, PERCENT, MIN_WORDS = 5, 80, 15
 RECALL, MOST_HASHES, LEADERS = 0.999, 48, 4
 #: Classes of a bucket compared in one block, and shingles counted at once in it.
 GROUP, SLAB = 128, 4096
+#: Words of a passage, and of the runs by which its windows are selected.
+PASSAGE, GRAM = 51, 26
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -154,12 +164,7 @@ def _rest_links(banded: DataFrame, linked: DataFrame, sets: DataFrame, percent:
     return settle(rows.mapInArrow(_compared(percent), "a long, b long"), "links")
 
 
-def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per paragraph that has a like: (doc_id, version, line, start, length, cluster, copies, kept).
-
-    ``start`` and ``length`` count code points; ``version`` is the xxhash64 of the text; ``copies``
-    is the number of paragraphs in the cluster and ``kept`` marks its first one."""
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
+def _lines(texts: DataFrame, width: int, percent: int, min_words: int) -> DataFrame:
     n, rows = tuned(percent)
     found = settle(
         map_arrow(texts, _found(width, min_words, rows, n * rows), "doc_id long, version long, line int, start long, length long, class long, bands array<long>"),
@@ -195,15 +200,148 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, percent: int = PERC
     )
 
 
+_WORD = re.compile(r"[^ \t-\r]+")
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _hashed(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` words in a row, from prefix sums of a polynomial."""
+    if len(h) < size:
+        return np.empty(0, np.uint64)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)]
+    return mixed((sums[size:] - sums[:-size]) * _powers(pow(_BASE, -1, 2**64), len(h) - size + 1))
+
+
+def _selected(grams: np.ndarray) -> np.ndarray:
+    """The smallest gram of every window of ``PASSAGE`` words."""
+    return np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1).min(axis=1)
+
+
+def _winnowed(ids, versions, texts):
+    out = []
+    for i, v, text in zip(ids, versions, texts, strict=True):
+        found = words(text)
+        if len(found) >= PASSAGE:
+            grams = _windows(_hashed(found), GRAM)
+            gram, n = np.unique(grams[np.isin(grams, _selected(grams))], return_counts=True)
+            out.append((np.full(len(gram), i, np.int64), np.full(len(gram), v, np.int64), gram.view(np.int64), n))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["doc_id", "version", "gram", "n"])
+
+
+def _streams(text: str, cut: set[int]):
+    """(words, starts, ends, lines) of each stretch of the text between lines that are cut."""
+    found, start = ([], [], [], []), 0
+    for i, line in enumerate(text.split("\n")):
+        if i in cut:
+            yield found
+            found = ([], [], [], [])
+        else:
+            for m in _WORD.finditer(line):
+                found[0].append(m[0].encode("utf-8", "surrogatepass").lower())
+                found[1].append(start + m.start())
+                found[2].append(start + m.end())
+                found[3].append(i)
+        start += len(line) + 1
+    yield found
+
+
+def _placed_windows(ids, versions, texts, cuts, grams):
+    """Windows whose selected gram is shared; ``run`` is the first place of equal windows that overlap in a row."""
+    out = []
+    for i, v, text, cut, gram in zip(ids, versions, texts, cuts, grams, strict=True):
+        shared, base, seen = np.array(gram, np.int64).view(np.uint64), 0, {}
+        for found, starts, ends, lines in _streams(text, set(cut or ())):
+            if len(found) >= PASSAGE:
+                h = _hashed(found)
+                windows = _windows(h, PASSAGE).view(np.int64)
+                for k in np.flatnonzero(np.isin(_selected(_windows(h, GRAM)), shared)).tolist():
+                    at, w = base + k, int(windows[k])
+                    last, run = seen.get(w, (-PASSAGE, at))
+                    run = run if at - last < PASSAGE else at
+                    seen[w] = (at, run)
+                    out.append((w, i, v, run, at, lines[k], starts[k], ends[k + PASSAGE - 1]))
+            base += len(found) + PASSAGE + 1
+    names = ["h", "doc_id", "version", "run", "at", "line", "start", "end"]
+    columns = zip(*out, strict=True) if out else [[]] * len(names)
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if n == "line" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+
+def _passages(texts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """One row per passage that stands in two places or more, outside the lines of ``cuts`` (doc_id, version, lines)."""
+    key = ["doc_id", "version"]
+    grams = settle(map_arrow(texts, _winnowed, "doc_id long, version long, gram long, n long"), "grams")
+    shared = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    asked = settle(grams.join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams")).join(cuts, key, "left"), "asked")
+    need = settle(asked.select("doc_id").distinct(), "need")
+    rows = only(texts, need).join(asked, key).select(*key, "text", "lines", "grams")
+    schema = "h long, doc_id long, version long, run long, at long, line int, start long, end long"
+    windows = settle(map_arrow(rows, _placed_windows, schema), "windows")
+    place = F.struct(*key, "run")
+    firsts = windows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h", "first")
+    found = windows.join(firsts, "h").select(*windows.columns, (place == F.col("first")).alias("kept")).distinct()
+    order = Window.partitionBy(*key, "kept").orderBy("at")
+    begun = F.when(F.col("at") - F.lag("at").over(order) <= PASSAGE, None).otherwise(F.col("at"))
+    found = found.withColumn("begun", begun).withColumn("begun", F.last("begun", True).over(order))
+    found = settle(found.withColumn("id", F.xxhash64(*key, "kept", "begun")), "repeats")
+    ends = found.where("kept").select("h", F.col("id").alias("a")).distinct()
+    clusters = components(found.where("not kept").select("h", F.col("id").alias("b")).join(ends, "h").select("a", "b").distinct())
+    spans = found.groupBy("id", *key, "kept").agg(F.min("line").alias("line"), F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"))
+    spans = spans.join(clusters.withColumnRenamed("component", "cluster"), "id")
+    sizes = spans.groupBy("cluster").agg(F.count("*").alias("copies"))
+    return spans.join(sizes, "cluster").select(*key, "line", "start", "length", "cluster", "copies", "kept")
+
+
+def _repeats(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows of ``repeated_paragraphs``, and whether each is a ``whole`` line."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    lines = settle(_lines(texts, width, percent, min_words), "lines")
+    cuts = lines.where("not kept").groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
+    passages = _passages(texts, cuts)
+    return lines.withColumn("whole", F.lit(True)).unionByName(passages.withColumn("whole", F.lit(False)))
+
+
+def repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
+    """One row per line that has a like and per passage that repeats: (doc_id, version, line, start, length, cluster, copies, kept).
+
+    ``start`` and ``length`` count code points; ``version`` is the xxhash64 of the text; ``line`` is the one in which
+    it starts; ``copies`` is the number of rows in the cluster and ``kept`` marks the first place: one line of a
+    cluster, and each passage that others repeat."""
+    return _repeats(docs, **options).drop("whole")
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all but the first of like paragraphs cut from the texts; ``n_chars`` follows where it exists."""
+    """``docs`` with all but the first of like lines and equal passages cut from the texts; ``n_chars`` follows where it exists."""
+    span = F.when(~F.col("whole"), F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")))
     cuts = (
-        repeated_paragraphs(docs, **options).where("not kept").groupBy("doc_id", "version")
-        .agg(F.collect_set("line").alias("lines")).select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_cut_version"), F.col("lines").alias("_cut_lines"))
+        _repeats(docs, **options).where("not kept").groupBy("doc_id", "version")
+        .agg(F.collect_set(F.when(F.col("whole"), F.col("line"))).alias("_cut_lines"), F.sort_array(F.collect_set(span)).alias("_cut_spans"))
+        .withColumnsRenamed({"doc_id": "_cut_id", "version": "_cut_version"})
     )
     joined = docs.join(cuts, (docs["doc_id"] == F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_version")), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_cut_lines"), i)), "\n")
+
+    def piece(start, n):
+        return F.substring(docs["text"], start + 1, n)
+
+    def shorter(so_far, cut):
+        gone = F.regexp_replace(piece(cut["start"], cut["length"]), r"[^\n]+", "")  # line numbers stay
+        return F.struct((cut["start"] + cut["length"]).alias("at"), F.concat(so_far["text"], piece(so_far["at"], cut["start"] - so_far["at"]), gone).alias("text"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    short = F.aggregate("_cut_spans", begin, shorter, lambda x: F.concat(x["text"], piece(x["at"], F.length(docs["text"]))))
+    lines, before = F.split(short, "\n", -1), F.split(docs["text"], "\n", -1)
+    blank = lambda x: F.trim(x) == ""
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_cut_lines"), i) & (~blank(x) | blank(before[i]))), "\n")
     text = F.when(F.col("_cut_lines").isNull(), docs["text"]).otherwise(left)
     columns = [
         text.alias(c) if c == "text" else F.when(F.col("_cut_lines").isNull(), docs[c]).otherwise(F.length(left)).cast(t).alias(c) if c == "n_chars" else docs[c]

@@ -147,6 +147,28 @@ def test_large_bucket_is_compared_beyond_its_leaders(spark):
     assert found <= set(links) and len(found) >= 0.995 * len(links)
 
 
+def test_passages_whatever_the_line_breaks(spark):
+    rng = random.Random(12)
+    passage, verse, short, common = made(rng, 52), made(rng, 80).split(), made(rng, 50), made(rng, 60)
+    wrapped = lambda n: "\n".join(" ".join(verse[k : k + n]) for k in range(0, len(verse), n))
+    rows = [
+        (1, f"{made(rng, 90)} {passage} {made(rng, 90)}"), (2, f"{made(rng, 5)} {passage} é {made(rng, 140)}\nlast line"),
+        (3, "first\n" + wrapped(12)), (4, wrapped(9) + "\nlast"), (5, f"{made(rng, 60)} {short}"), (6, f"{short} {made(rng, 60)}"),
+        (7, f"{made(rng, 200)} {common} {made(rng, 200)} {common} end"), (8, "x y " * 300),
+    ]
+    rows += [(k, f"{made(rng, 200)} {common} {made(rng, 150)}") for k in range(10, 40)]
+    docs, text = table(spark, rows), dict(rows)
+    found = paragraphs.repeated_paragraphs(docs).collect()
+    got = {(r.doc_id, " ".join(text[r.doc_id][r.start : r.start + r.length].split()), r.kept) for r in found}
+    verse = " ".join(verse)
+    assert got == {(1, passage, True), (2, passage, False), (3, verse, True), (4, verse, False), (7, common, True), (7, common, False), *((k, common, False) for k in range(10, 40))}
+    assert {c: n for c, n in Counter(r.cluster for r in found).items()} == {r.cluster: r.copies for r in found} and len({r.cluster for r in found}) == 3
+    left = {r.doc_id: r for r in paragraphs.without_repeats(docs).collect()}
+    assert all(left[k].text == text[k] for k in (1, 3, 5, 6, 8)) and left[4].text == "last"
+    assert left[2].text == text[2].replace(passage, "") and left[2].n_chars == len(left[2].text)
+    assert left[7].text.count(common) == 1 and not any(common in left[k].text for k in range(10, 40))
+
+
 def test_overlaps_across_slabs():
     rng = np.random.default_rng(3)
     x, y = ([np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 9_000, 300), (12_000, 40)))
