@@ -218,14 +218,7 @@ def region(values: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: Scores) -> str:
     found = list(items(page or ""))
-    mark = _mark(found)
     start, end = region([weights.of(x) for x in found])
-    inside = [i for i, x in enumerate(found) if mark in x.around and x.words and not x.apart]
-    if any(start <= i < end for i in inside):
-        # the run lies in an element marked as the text: that element's ends are the run's
-        start, end = inside[0], inside[-1] + 1
-    else:
-        mark = None
     blocks, open_block = [], []
     for x in found[start:end]:
         if x.block:
@@ -233,7 +226,7 @@ def main_text(page: str | None, weights: Scores) -> str:
             open_block = []
         elif x.tag in ("br", "td", "th", "/td", "/th"):
             open_block.append(" ")
-        elif x.text and not x.apart and (mark is None or mark in x.around):
+        elif x.text and not x.apart:
             open_block.append(x.text)
     texts = (" ".join("".join(b).split()) for b in [*blocks, open_block])
     return "\n\n".join(t for t in texts if t)

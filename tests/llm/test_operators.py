@@ -310,6 +310,16 @@ def test_pages(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_text_is_bounded_by_the_run_and_not_by_an_article():
+    body = "Words of the text that is long enough to be taken as the main part of it all."
+    text = ["Lead", *[f"{body} {body}"] * 20, body]
+    inner = f"<h1>Lead</h1>{''.join(f'<p>{t}</p>' for t in text[1:-1])}"
+    page = f"<body><nav><a>Home</a></nav><div>{inner}</div><article><p>{body}</p></article><footer>foot</footer>"
+    weights = html.scores({})
+    assert html.main_text(page, weights) == "\n\n".join(text)
+    assert html.main_text(page.replace("article", "div"), weights) == "\n\n".join(text)
+
+
 def test_region_is_the_best_run():
     rng = random.Random(5)
     for _ in range(100):
