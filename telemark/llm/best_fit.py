@@ -10,8 +10,7 @@ leaves fewer of it than one bin takes.
 Back on Spark, a piece's rank among those of its length (row numbers within slices of a length, plus the running counts of the
 slices) says which bin and place is its own; tasks look it up by bisection in the table of places.
 
-Ids are the library's: texts are cut at spaces and line ends, which no token spans, and each new stretch is given to the library whole,
-special tokens' strings included. A worker remembers stretches up to a number of bytes.
+Ids are the untouched library's, special tokens' strings included. A worker remembers words up to a number of bytes.
 
 Defined results: a null text and an empty one are the single id 0; rows repeating one id and text are packed each; null ids are kept; an
 empty table gives an empty result; extra columns are not read.
@@ -19,8 +18,10 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from telemark.llm.packing import BYTE_CHARACTERS
 from telemark.llm.rows import map_arrow
 from telemark.session import settle
 
@@ -38,34 +40,60 @@ SIZE = 2048
 SLICE_ROWS = 4096
 #: Bytes of stretches, ids and table entries that a worker remembers, and the longest stretch it keeps.
 REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 200, 64
-_ENCODERS: dict[str, _Stretches] = {}
+_ENCODERS: dict[str, _Encoder] = {}
+#: The Latin letters that normal form C leaves alone, and the vocabulary's words in lower-cased texts of these and ASCII.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+").findall
 
 
-class _Stretches(dict):
-    """A stretch without ASCII white space -> its ids as bytes, from the untouched library."""
+class _Remembered(dict):
+    """Words -> their ids as bytes, up to a number of bytes."""
 
-    def __init__(self, path: str) -> None:
-        self.encode, self.left = Tokenizer.from_file(path).encode, REMEMBERED_BYTES
+    def __init__(self, ask: Callable[[str], list[int]]) -> None:
+        self.ask, self.left = ask, REMEMBERED_BYTES
 
-    def __missing__(self, stretch: bytes) -> bytes:
-        found = self.encode(stretch.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+    def __missing__(self, word: str) -> bytes:
+        found = self.ask(word)
         ids = struct.pack(f"<{len(found)}I", *found)
-        if len(stretch) <= LONGEST:
+        if len(word) <= LONGEST:
             self.left -= ENTRY_BYTES + len(ids)
             if self.left < 0:
                 self.clear()
                 self.left = REMEMBERED_BYTES
-            self[stretch] = ids
+            self[word] = ids
         return ids
 
+
+def _written(word: str) -> str:
+    """In the vocabulary's characters; those of printable ASCII are its own."""
+    return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+
+
+class _Encoder:
+    """Ids of the untouched library. Texts of ASCII and Latin letters are lower-cased and split here, and the library's model is asked
+    for each new word; other texts and those with a special token's string go to the library in stretches without white space."""
+
+    def __init__(self, path: str) -> None:
+        library = Tokenizer.from_file(path)
+        model = library.model
+        special = "|".join(re.escape(t.content) for t in library.get_added_tokens_decoder().values())
+        self.other = re.compile(rf"[^\x00-\x7f{LETTERS}]" + (f"|{special}" if special else "")).search
+        self.words = _Remembered(lambda word: [t.id for t in model.tokenize(_written(word))])
+        self.stretches = _Remembered(lambda stretch: library.encode(stretch, add_special_tokens=False).ids)
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+        if not text:
+            return b""
+        if self.other(text):
+            # ASCII white space only: what else counts as white space is the library's to say
+            return b"".join([self.stretches[x.decode("utf-8", "surrogatepass")] for x in text.encode("utf-8", "surrogatepass").split()])
+        return b"".join(map(self.words.__getitem__, _WORDS(text.lower())))
 
 
-def encoder(path: str) -> _Stretches:
+def encoder(path: str) -> _Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = _Stretches(path)
+        _ENCODERS[path] = _Encoder(path)
     return _ENCODERS[path]
 
 
