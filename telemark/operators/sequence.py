@@ -11,8 +11,9 @@ blocks of it hold a bounded number of rows however large the session is (at
 most 16,384 blocks of 2^18). Each block needs two carries: the earliest arrival
 in higher blocks and the last advancing number in lower blocks.
 
-Sessions that do span 2^31 or more take the exact fold, in slices of arrival
-order joined by their transfer functions (``_wide_disposition``).
+Sessions that do span 2^31 or more take the exact fold in slices of arrival
+order. What a slice does to any entering H is an interval map; the maps are
+composed in a tree (``interval_maps``), which gives every slice its H.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.functions import wire
+from telemark.operators import interval_maps
 from telemark.operators.scale import UNBOUNDED, block_of, ranged_slices
 from telemark.session import settle
 
@@ -29,8 +31,9 @@ SESSION = ["payload_id", "boot_id"]
 BLOCK_NUMBERS = 1 << 18
 # Receipt time of the row that stands for a stored mark.
 SEED_US = -(1 << 62)
-MODULUS = 1 << 32
-HALF_RANGE = 1 << 31
+MODULUS, HALF_RANGE = interval_maps.MODULUS, interval_maps.HALF_RANGE
+# Rows of a wide session's slice.
+SLICE_ROWS = 1 << 17
 KEPT = [*SESSION, "sequence_number", "received_us", "delivery_id"]
 
 
@@ -90,71 +93,6 @@ def _advances(number: int, high_water: int) -> bool:
     return 1 <= (number - high_water) % MODULUS < HALF_RANGE
 
 
-def _transfer(numbers: list[int]) -> list[tuple[int, int, int | None]]:
-    """What a run of numbers does to any incoming H, as (from, to, becomes)
-    arcs over 0 .. 2^32 - 1; None means H is left as it is.
-
-    The run's own values pull almost all H to one value, so the list stays
-    short; it does not depend on the length of the run.
-    """
-    arcs: list[tuple[int, int, int | None]] = [(0, MODULUS - 1, None)]
-    for s in numbers:
-        if not any(b is None or _advances(s, b) for _, _, b in arcs):
-            continue
-        start = (s - HALF_RANGE + 1) % MODULUS  # first H that s moves
-        moved = [(start, s - 1)] if start < s else [(start, MODULUS - 1), (0, s - 1)]
-        nxt: list[tuple[int, int, int | None]] = []
-        for lo, hi, becomes in arcs:
-            if becomes is not None:
-                nxt.append((lo, hi, s if _advances(s, becomes) else becomes))
-                continue
-            at = lo
-            for a, b in sorted(moved):
-                a, b = max(a, at), min(b, hi)
-                if a > b:
-                    continue
-                if at < a:
-                    nxt.append((at, a - 1, None))
-                nxt.append((a, b, s))
-                at = b + 1
-            if at <= hi:
-                nxt.append((at, hi, None))
-        arcs = [nxt[0]]
-        for lo, hi, becomes in nxt[1:]:
-            if arcs[-1][2] == becomes:
-                arcs[-1] = (arcs[-1][0], hi, becomes)
-            else:
-                arcs.append((lo, hi, becomes))
-    return arcs
-
-
-def _slice_transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["received_us", "delivery_id"])
-    numbers = pdf["sequence_number"].tolist()
-    arcs = pd.DataFrame(_transfer(numbers), columns=["lo", "hi", "becomes"])
-    arcs["becomes"] = arcs["becomes"].astype("Int64")
-    for name in (*SESSION, "slice"):
-        arcs[name] = pdf[name].iloc[0]
-    arcs["first_number"] = numbers[0]
-    return arcs[[*SESSION, "slice", "first_number", "lo", "hi", "becomes"]]
-
-
-def _chain_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry H of each slice of one session: one short step per slice."""
-    high_water: int | None = None
-    out = []
-    for number, arcs in pdf.sort_values("slice").groupby("slice", sort=True):
-        out.append((number, high_water))
-        at = int(arcs["first_number"].iloc[0]) if high_water is None else high_water
-        hit = arcs[(arcs["lo"] <= at) & (arcs["hi"] >= at)]["becomes"].iloc[0]
-        high_water = at if pd.isna(hit) else int(hit)
-    chained = pd.DataFrame(out, columns=["slice", "entry"])
-    chained["entry"] = chained["entry"].astype("Int64")
-    for name in SESSION:
-        chained[name] = pdf[name].iloc[0]
-    return chained[[*SESSION, "slice", "entry"]]
-
-
 def _fold_slice(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["received_us", "delivery_id"])
     entry = pdf["entry"].iloc[0]
@@ -173,17 +111,23 @@ def _fold_slice(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _wide_disposition(rows: DataFrame, slices: int | None = None) -> DataFrame:
-    sliced = ranged_slices(rows.select(*KEPT), [*SESSION, "received_us", "delivery_id"], slices)
-    group = [*SESSION, "slice"]
-    transfers = sliced.groupBy(*group).applyInPandas(
-        _slice_transfer,
-        "payload_id bigint, boot_id bigint, slice int, first_number bigint, "
-        "lo bigint, hi bigint, becomes bigint",
-    )
-    entries = transfers.groupBy(*SESSION).applyInPandas(
-        _chain_slices, "payload_id bigint, boot_id bigint, slice int, entry bigint"
-    )
-    return sliced.join(entries, group).groupBy(*group).applyInPandas(
+    order = ["received_us", "delivery_id"]
+    # of several sessions at most: a slice holds a bounded number of rows, whatever the settings
+    least = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SLICE_ROWS))
+    sliced = ranged_slices(rows.select(*KEPT), [*SESSION, *order], slices or least)
+    place = F.struct(*order)
+    named = sliced.groupBy(*SESSION, "slice").agg(F.min_by("sequence_number", place).alias("number"))
+    firsts = settle(named.groupBy(*SESSION).agg(
+        F.min("slice").alias("begin"), F.max("slice").alias("end"), F.min_by("number", "slice").alias("entry"),
+    ))
+    top = firsts.agg(F.max(F.col("end") - F.col("begin"))).first()[0]
+    placed = sliced.join(firsts.select(*SESSION, "begin"), SESSION).withColumn("node", (F.col("slice") - F.col("begin")).cast("bigint"))
+    placed = placed.drop("slice", "begin")
+    # a session's first number meets itself as the mark and leaves it as it is
+    entered = interval_maps.entries(interval_maps.slice_maps(placed, order), firsts.select(*SESSION, "entry"), top)
+    entered = entered.withColumn("entry", F.when(F.col("node") > 0, F.col("entry")))
+    group = [*SESSION, "node"]
+    return placed.join(entered, group).groupBy(*group).applyInPandas(
         _fold_slice,
         "payload_id bigint, boot_id bigint, sequence_number bigint, received_us bigint, "
         "delivery_id bigint, high_water_before bigint, is_late boolean",

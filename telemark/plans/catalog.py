@@ -518,6 +518,13 @@ def sequence_disposition(t):
     return sequence.sequence_disposition(packets)
 
 
+@query
+def wide_sequence_state(t):
+    disposed = sequence.sequence_disposition(sample.wide_packets(t.spark, t.sf_dir))
+    late = disposed.groupBy("boot_id").agg(F.count_if(F.col("sequence_disposition") == "LATE").alias("late_packet_count"))
+    return sequence.sequence_state(disposed).join(late, "boot_id").drop("payload_id", "last_high_water_packet_id")
+
+
 @query
 def sequence_decision(t):
     fresh = t.outcome().where(F.col("request_state") == "NEW")

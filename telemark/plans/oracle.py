@@ -748,6 +748,19 @@ ORACLES: dict[str, str] = {
         """SELECT payload_id, boot_id, sequence_number, received_us, delivery_id, sequence_disposition, missing_before,
           high_water_before FROM pk""",
     ),
+    "wide_sequence_state": """
+      WITH n AS (
+        SELECT DISTINCT l_linenumber::BIGINT AS boot_id, l_orderkey AS k,
+          CASE WHEN l_orderkey % 1009 = 0 THEN [0, 1, 3][(l_orderkey // 1009) % 3 + 1]::BIGINT * 1073741824 + l_orderkey
+               ELSE 3221225471 - l_orderkey END AS s FROM lineitem),
+      l AS (SELECT boot_id, count(*) AS n, list({'h': s, 'missing': 0::BIGINT, 'late': 0::BIGINT} ORDER BY k) AS x
+            FROM n GROUP BY boot_id),
+      f AS (SELECT boot_id, n, x[1].h AS first, list_reduce(x, lambda a, b:
+          CASE WHEN (b.h - a.h + 4294967296) % 4294967296 BETWEEN 1 AND 2147483647
+               THEN {'h': b.h, 'missing': a.missing + (b.h - a.h + 4294967296) % 4294967296 - 1, 'late': a.late}
+               ELSE {'h': a.h, 'missing': a.missing, 'late': a.late + 1} END) AS r FROM l)
+      SELECT boot_id, r.h AS high_water_sequence, n AS accepted_packet_count, first + r.missing AS missing_packet_count,
+        r.late AS late_packet_count FROM f""",
     "sequence_decision": with_(
         ledger(),
         """SELECT delivery_id, payload_id, boot_id, sequence_number, disposition, missing_count,

@@ -35,6 +35,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted packets of seven sessions that fall from 3 * 2^30 and jump to the other quarters of the number range
+    now and then: no half of the range holds a session."""
+    use_utc(spark)
+    k = F.col("l_orderkey")
+    quarter = F.element_at(F.array(*(F.lit(q << 30) for q in (0, 1, 3))), (wire.whole_div(k, 1009) % 3 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.lit(1).cast("bigint").alias("payload_id"),
+        F.col("l_linenumber").cast("bigint").alias("boot_id"),
+        F.when(k % 1009 == 0, quarter + k).otherwise(F.lit((3 << 30) - 1) - k).alias("sequence_number"),
+        k.alias("received_us"),
+        (k * 8 + F.col("l_linenumber")).alias("delivery_id"),
+    )
+    return rows.distinct()
+
+
 def every(n: int, column: str = "e") -> Column:
     return F.col(column) % n == 0
 

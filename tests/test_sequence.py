@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from telemark.operators import sequence
+from telemark.operators import interval_maps, sequence
 
 MOD, HALF = 1 << 32, 1 << 31
 
@@ -96,19 +99,80 @@ def test_wide_sessions(spark, slices):
     check(spark, sessions, slices=slices, block_rows=1 << 28)
 
 
+def test_wide_sessions_over_many_pages(spark, monkeypatch):
+    monkeypatch.setattr(interval_maps, "PAGE", 2)
+    rng = random.Random(9)
+    falling = [HALF + 500 - i for i in range(40)] + [9] + [400 - i for i in range(40)]
+    check(spark, {1: falling, 2: unique(rng.randrange(MOD) for _ in range(70))}, slices=6)
+
+
+def mark_after(numbers, high):
+    for s in numbers:
+        if 1 <= (s - high) % MOD < HALF:
+            high = s
+    return high
+
+
+def some_numbers(rng):
+    return unique(rng.choice([rng.randrange(MOD), HALF + rng.randrange(9), rng.randrange(9), MOD - 1 - rng.randrange(9)]) for _ in range(20))
+
+
+def probes(rng, numbers):
+    near = [(n + d) % MOD for n in numbers for d in (-HALF - 1, -HALF, 1 - HALF, -1, 0, 1)]
+    return [*near, 0, MOD - 1, *(rng.randrange(MOD) for _ in range(40))]
+
+
 def test_transfer_equals_fold():
     rng = random.Random(11)
     for _ in range(60):
-        numbers = unique(rng.choice([rng.randrange(MOD), HALF + rng.randrange(9), rng.randrange(9)]) for _ in range(20))
-        arcs = sequence._transfer(numbers)
-        assert arcs[0][0] == 0 and arcs[-1][1] == MOD - 1
-        for entry in [*(n for n in numbers), *(rng.randrange(MOD) for _ in range(40))]:
-            high = entry
-            for s in numbers:
-                if 1 <= (s - high) % MOD < HALF:
-                    high = s
-            becomes = next(b for lo, hi, b in arcs if lo <= entry <= hi)
-            assert (entry if becomes is None else becomes) == high
+        numbers = some_numbers(rng)
+        starts, becomes = interval_maps.transfer(numbers)
+        assert starts[0] == 0 and (np.diff(starts) > 0).all() and (np.diff(becomes) != 0).all()
+        marks = np.array(probes(rng, numbers))
+        assert interval_maps.applied(starts, becomes, marks).tolist() == [mark_after(numbers, h) for h in marks.tolist()]
+
+
+@pytest.mark.parametrize("page", [1, 3, 1000])
+def test_composition_equals_fold_over_pages(spark, page):
+    rng = random.Random(page)
+    runs = {(boot, node): some_numbers(rng) for boot in (1, 2) for node in range(3)}
+    runs[3, 0] = some_numbers(rng)
+    rows = [
+        (1, boot, node, *p) for (boot, node), numbers in runs.items()
+        for p in interval_maps.pages(*interval_maps.transfer(numbers), MOD, page)
+    ]
+    maps = spark.createDataFrame([(*r[:5], bytearray(r[5]), bytearray(r[6])) for r in rows], interval_maps.MAP_DDL)
+    found = {}
+    for r in interval_maps.composed(interval_maps.composed(maps, page), page).collect():
+        found.setdefault(r.boot_id, []).append((r.low, r.until, np.frombuffer(r.starts, np.int64), np.frombuffer(r.becomes, np.int64)))
+    for boot in (1, 2, 3):
+        parts = sorted(found[boot], key=lambda p: p[0])
+        assert [p[1] for p in parts] == [*(p[0] for p in parts[1:]), MOD] and parts[0][0] == 0
+        assert all(len(p[2]) <= page and p[2][0] == p[0] for p in parts)
+        numbers = [n for (b, _), run in sorted(runs.items()) if b == boot for n in run]
+        starts, becomes = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
+        marks = np.array(probes(rng, numbers))
+        assert interval_maps.applied(starts, becomes, marks).tolist() == [mark_after(numbers, h) for h in marks.tolist()]
+
+
+def test_million_falling_numbers_and_a_jump(spark):
+    """One arc per number: the case in which no slice's map is short."""
+    n = 1_000_000
+    numbers = F.when(F.col("id") == n // 2, F.lit(5)).otherwise(F.lit(HALF + 2 * n) - F.col("id"))
+    rows = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("payload_id"), F.lit(1).cast("bigint").alias("boot_id"),
+        numbers.alias("sequence_number"), F.col("id").alias("received_us"), F.col("id").alias("delivery_id"),
+    )
+    begin = time.time()
+    disposed = sequence.sequence_disposition(rows, slices=9)
+    got = {r.sequence_disposition: (r.n, r.missing) for r in disposed.groupBy("sequence_disposition").agg(
+        F.count("*").alias("n"), F.sum("missing_before").alias("missing")).collect()}
+    wall = time.time() - begin
+    want = {}
+    for d, m, _ in fold([5 if i == n // 2 else HALF + 2 * n - i for i in range(n)]):
+        count, missing = want.get(d, (0, 0))
+        want[d] = (count + 1, missing + m)
+    assert got == want and wall < 120
 
 
 def test_missing_ranges(spark):
