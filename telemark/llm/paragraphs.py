@@ -11,7 +11,9 @@ probability ``RECALL`` at least. In each component the first occurrence by (doc_
 Passages of at least ``PASSAGE`` words are found whatever the line breaks, in what the line stage leaves: every run of
 ``PASSAGE`` words that stands in an earlier place too is a repeat. Texts are winnowed first: of each ``PASSAGE`` words the
 smallest hash of its runs of ``GRAM`` words is selected, and only windows whose selected hash occurs twice are
-written out and counted, all of them. Passages are equal word by word; likeness is for lines only.
+written out and compared, all of them, in buckets by that hash; a hash with more than ``HOT`` places is dealt to several buckets by
+document, whose first places are found before. Windows in a row leave a bucket as one stretch with its first and last
+word. Passages are equal word by word; likeness is for lines only.
 
 Defined results: null and empty texts have no paragraphs, short lines only as parts of passages; a text that
 goes on repeating itself within ``PASSAGE`` words is one place, not many; a passage does not reach across a line that is cut,
@@ -24,7 +26,7 @@ empty table gives an empty result; extra columns are handed through unread.
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.llm.components import components
-from telemark.llm.rows import alike, bands, map_arrow, mixed, only, permuted, shingles, words
+from telemark.llm.rows import _FACTORS, _permutations, alike, give_back, map_arrow, mixed, only, words
 from telemark.session import settle
 
 WIDTH, PERCENT, MIN_WORDS = 5, 80, 15
 RECALL, MOST_HASHES, LEADERS = 0.999, 48, 4
 #: Classes of a bucket compared in one block, and shingles counted at once in it.
 GROUP, SLAB = 128, 4096
+#: Shingles whose min-hashes are taken at once.
+BLOCK = 65_536
 #: Words of a passage, and of the runs by which its windows are selected.
 PASSAGE, GRAM = 51, 26
+#: Windows of a bucket, and places from which a gram's windows are dealt to several.
+BUCKET, HOT = 2_000_000, 4096
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -56,36 +62,83 @@ def tuned(percent: int = PERCENT, recall: float = RECALL, most: int = MOST_HASHE
     return best
 
 
-def _sets(text: str | None, width: int, min_words: int):
-    """(line number, start, length, shingles) of each paragraph."""
-    start = 0
-    for i, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * min_words - 1 and len(words(line)) >= min_words:
-            yield i, start, len(line), shingles(line, width)
-        start += len(line) + 1
-
-
-def _name(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+class _Paragraphs:
+    """The paragraphs of some texts: ``places`` (text, line, start, length), their sorted shingle sets in a row, and each set's name."""
+
+    def __init__(self, texts: list[str | None], width: int, min_words: int) -> None:
+        places, found, count = [], [], []
+        for k, text in enumerate(texts):
+            text = text or ""
+            raw = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
+            start = 0
+            for i, (part, n) in enumerate(zip(raw, map(len, raw if text.isascii() else text.split("\n")), strict=True)):
+                if n >= 2 * min_words - 1:
+                    split = part.split()
+                    if len(split) >= min_words:
+                        places.append((k, i, start, n))
+                        found += split
+                        count.append(len(split))
+                start += n + 1
+        self.places = np.array(places, np.int64).reshape(-1, 4)
+        h, m = _hashed(found), np.array(count, np.int64)
+        takes = np.minimum(m, width)
+        sizes = m - takes + 1
+        owner = np.repeat(np.arange(len(m)), sizes)
+        at = np.arange(len(owner)) + np.repeat(np.cumsum(m) - m - np.cumsum(sizes) + sizes, sizes)
+        take = takes[owner]
+        s = take.astype(np.uint64)
+        for j in range(width if len(h) else 0):
+            s += np.where(j < take, h[np.minimum(at + j, len(h) - 1)] * _FACTORS[j], np.uint64(0))
+        s = mixed(s)
+        order = np.lexsort((s, owner))
+        s, owner = s[order], owner[order]
+        keep = np.r_[True, (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])][: len(s)]
+        self.s, owner = s[keep], owner[keep]
+        self.begin = np.searchsorted(owner, np.arange(len(m)))
+        self.end = np.r_[self.begin[1:], len(self.s)]
+        sums = np.add.reduceat(mixed(self.s ^ _FACTORS[7]), self.begin) if len(m) else np.empty(0, np.uint64)
+        self.names = mixed(sums + (self.end - self.begin).astype(np.uint64) * _FACTORS[8]).view(np.int64)
+
+    def bands(self, hashes: int, rows: int) -> np.ndarray:
+        """[paragraph, band] keys of ``rows`` min-hashes each; the band number is part of a key."""
+        a, b = (x[:, 0] for x in _permutations(hashes, 11))
+        low, at = np.empty((hashes, len(self.begin)), np.uint64), 0
+        while at < len(self.begin):
+            upto = max(at + 1, int(np.searchsorted(self.begin, self.begin[at] + BLOCK)))
+            block, begin = self.s[self.begin[at] : self.end[upto - 1]], self.begin[at:upto] - self.begin[at]
+            for j in range(hashes):
+                x = block * a[j]
+                x += b[j]
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                low[j, at:upto] = np.minimum.reduceat(x, begin)
+            at = upto
+        keys = np.empty((len(self.begin), hashes // rows), np.uint64)
+        for k in range(hashes // rows):
+            keys[:, k] = mixed(sum(low[k * rows + j] * _FACTORS[j] for j in range(rows)) + np.uint64(k + 1))
+        return keys.view(np.int64)
 
 
 def _found(width: int, min_words: int, rows: int, hashes: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("line", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    names = ["doc_id", "version", "line", "start", "length", "class", "bands"]
 
     def work(ids, versions, texts):
-        out = []
-        for i, v, text in zip(ids, versions, texts, strict=True):
-            out += [(i, v, line, start, n, _name(s), bands(permuted(s, hashes), rows)) for line, start, n, s in _sets(text, width, min_words)]
-        columns = zip(*out, strict=True) if out else [[]] * len(schema)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        found = _Paragraphs(texts, width, min_words)
+        text, line, start, length = found.places.T
+        keys = found.bands(hashes, rows)
+        at = pa.array(np.arange(0, keys.size + 1, hashes // rows), pa.int32())
+        columns = [np.array(ids, np.int64)[text], np.array(versions, np.int64)[text], line.astype(np.int32), start, length, found.names]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=names)
 
     return work
 
 
 def _classes(width: int, min_words: int):
     def work(texts):
-        kept = {_name(s): s.tobytes() for t in texts for _, _, _, s in _sets(t, width, min_words)}
-        yield pa.RecordBatch.from_pydict({"class": list(kept), "s": list(kept.values())}, pa.schema([("class", pa.int64()), ("s", pa.binary())]))
+        found = _Paragraphs(texts, width, min_words)
+        names, first = np.unique(found.names, return_index=True)
+        sets = [found.s[a:b].tobytes() for a, b in zip(found.begin[first], found.end[first], strict=True)]
+        yield pa.RecordBatch.from_pydict({"class": names, "s": sets}, pa.schema([("class", pa.int64()), ("s", pa.binary())]))
 
     return work
 
@@ -200,7 +253,6 @@ def _lines(texts: DataFrame, width: int, percent: int, min_words: int) -> DataFr
     )
 
 
-_WORD = re.compile(r"[^ \t-\r]+")
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -222,84 +274,269 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
     return mixed((sums[size:] - sums[:-size]) * _powers(pow(_BASE, -1, 2**64), len(h) - size + 1))
 
 
+def _slid(x: np.ndarray, n: int, of: Callable) -> np.ndarray:
+    """The least or greatest of every ``n`` values in a row."""
+    have = 1
+    while 2 * have <= n:
+        x = of(x[:-have], x[have:])
+        have *= 2
+    return of(x[: len(x) - n + have], x[n - have :])
+
+
 def _selected(grams: np.ndarray) -> np.ndarray:
     """The smallest gram of every window of ``PASSAGE`` words."""
-    return np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1).min(axis=1)
+    return _slid(grams, PASSAGE - GRAM + 1, np.minimum)
 
 
 def _winnowed(ids, versions, texts):
-    out = []
-    for i, v, text in zip(ids, versions, texts, strict=True):
-        found = words(text)
-        if len(found) >= PASSAGE:
-            grams = _windows(_hashed(found), GRAM)
-            gram, n = np.unique(grams[np.isin(grams, _selected(grams))], return_counts=True)
-            out.append((np.full(len(gram), i, np.int64), np.full(len(gram), v, np.int64), gram.view(np.int64), n))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["doc_id", "version", "gram", "n"])
-
-
-def _streams(text: str, cut: set[int]):
-    """(words, starts, ends, lines) of each stretch of the text between lines that are cut."""
-    found, start = ([], [], [], []), 0
-    for i, line in enumerate(text.split("\n")):
-        if i in cut:
-            yield found
-            found = ([], [], [], [])
-        else:
-            for m in _WORD.finditer(line):
-                found[0].append(m[0].encode("utf-8", "surrogatepass").lower())
-                found[1].append(start + m.start())
-                found[2].append(start + m.end())
-                found[3].append(i)
-        start += len(line) + 1
-    yield found
-
-
-def _placed_windows(ids, versions, texts, cuts, grams):
-    """Windows whose selected gram is shared; ``run`` is the first place of equal windows that overlap in a row."""
-    out = []
-    for i, v, text, cut, gram in zip(ids, versions, texts, cuts, grams, strict=True):
-        shared, base, seen = np.array(gram, np.int64).view(np.uint64), 0, {}
-        for found, starts, ends, lines in _streams(text, set(cut or ())):
-            if len(found) >= PASSAGE:
-                h = _hashed(found)
-                windows = _windows(h, PASSAGE).view(np.int64)
-                for k in np.flatnonzero(np.isin(_selected(_windows(h, GRAM)), shared)).tolist():
-                    at, w = base + k, int(windows[k])
-                    last, run = seen.get(w, (-PASSAGE, at))
-                    run = run if at - last < PASSAGE else at
-                    seen[w] = (at, run)
-                    out.append((w, i, v, run, at, lines[k], starts[k], ends[k + PASSAGE - 1]))
-            base += len(found) + PASSAGE + 1
-    names = ["h", "doc_id", "version", "run", "at", "line", "start", "end"]
-    columns = zip(*out, strict=True) if out else [[]] * len(names)
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if n == "line" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+    """Every place of a gram that some window of its text selects."""
+    found, sizes, which = [], [], []
+    for k, text in enumerate(texts):
+        split = words(text)
+        if len(split) >= PASSAGE:
+            found += split
+            sizes.append(len(split))
+            which.append(k)
+    if not which:
+        return
+    text = np.repeat(which, sizes)
+    grams = _windows(_hashed(found), GRAM)
+    chosen = np.where(text[: 1 - PASSAGE] == text[PASSAGE - 1 :], _selected(grams), np.uint64(0))
+    room = np.zeros(PASSAGE - GRAM, np.uint64)
+    at = np.flatnonzero(_slid(np.r_[room, chosen, room], PASSAGE - GRAM + 1, np.maximum) == grams)
+    text = text[at]
+    columns = [np.array(ids, np.int64)[text], np.array(versions, np.int64)[text], grams[at].view(np.int64)]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["doc_id", "version", "gram"])
+
+
+class _Stream:
+    """The words of some texts in a row, without those of lines that are cut; ``stretch`` differs where a text or a cut line lies between."""
+
+    def __init__(self, texts: list[str], cuts: list[list[int] | None]) -> None:
+        whole = "\n".join(texts)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = (code == 32) | ((code >= 9) & (code <= 13))
+        self.start = np.flatnonzero(~space & np.r_[True, space[:-1]][: len(code)])
+        self.end = np.flatnonzero(~space & np.r_[space[1:], True][: len(code)]) + 1
+        feeds = np.flatnonzero(code == 10)
+        found = np.array(whole.encode("utf-8", "surrogatepass").lower().split(), object)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        first = np.searchsorted(feeds, begin)  # each text's first line, of all
+        self.text = np.searchsorted(begin, self.start, side="right") - 1
+        line = np.searchsorted(feeds, self.start)
+        gone = np.array(sorted(int(first[k]) + c for k, cut in enumerate(cuts) for c in cut or ()), np.int64)
+        keep = ~np.isin(line, gone)
+        self.start, self.end, self.text, line = (x[keep] for x in (self.start, self.end, self.text, line))
+        self.h = _hashed(found[keep].tolist())
+        before = np.searchsorted(gone, line)
+        self.stretch = before + self.text
+        self.line = line - first[self.text]
+        # words are counted within a text, with room between stretches
+        own = np.searchsorted(self.text, self.text)
+        self.at = np.arange(len(self.h)) - own + (PASSAGE + 1) * (before - np.searchsorted(gone, first[self.text]))
+        self.start, self.end = self.start - begin[self.text], self.end - begin[self.text]
+
+
+def _part(gram: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(gram + part.astype(np.uint64) * _FACTORS[3]) >> np.uint64(11)).astype(np.int64) % buckets
+
+
+#: Windows of a batch that go to one bucket: two columns a text met there, the others a window.
+_PACKED = ("doc_id", "version", "count", "h", "gram", "parts", "run", "at", "line", "start", "end")
+_TYPES = dict(zip(_PACKED, (np.int64, np.int64, np.int32, np.uint64, np.uint64, np.int32, *[np.int32] * 5), strict=True))
+
+
+def _placed_windows(buckets: int):
+    """Windows whose selected gram is shared, by bucket; ``run`` is the first place of equal windows that overlap in a row.
+
+    A gram's windows are in one bucket, or in ``parts`` of them by text if it stands in many places."""
+
+    def work(ids, versions, texts, cuts, grams, hot):
+        words = _Stream(texts, cuts)
+        if len(words.h) < PASSAGE:
+            return
+        chosen = _selected(_windows(words.h, GRAM))
+        shared = np.unique(np.concatenate([np.array(g, np.int64) for g in grams])).view(np.uint64)
+        k = np.flatnonzero((words.stretch[: 1 - PASSAGE] == words.stretch[PASSAGE - 1 :]) & np.isin(chosen, shared))
+        if not len(k):
+            return
+        h, gram, text, at = _windows(words.h, PASSAGE)[k], chosen[k], words.text[k], words.at[k]
+        order = np.lexsort((at, h, text))
+        same = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1]) & (np.diff(at[order]) < PASSAGE)
+        begun = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
+        run = np.empty(len(order), np.int64)
+        run[order] = at[order][begun]
+        many = sorted({(np.int64(x["gram"]).view(np.uint64), x["parts"]) for some in hot for x in some or ()})
+        parts = np.ones(len(k), np.int64)
+        if many:
+            often = np.array([g for g, _ in many], np.uint64)
+            place = np.minimum(np.searchsorted(often, gram), len(often) - 1)
+            parts = np.where(often[place] == gram, np.array([n for _, n in many])[place], 1)
+        ids, versions = np.array(ids, np.int64)[text], np.array(versions, np.int64)[text]
+        to = _part(gram, (mixed(ids.view(np.uint64) ^ versions.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts, buckets)
+        values = {
+            "doc_id": ids, "version": versions, "h": h, "gram": gram, "parts": parts, "run": run, "at": at,
+            "line": words.line[k], "start": words.start[k], "end": words.end[k + PASSAGE - 1],
+        }
+        order = np.lexsort((at, text, parts > 1, to))
+        values = {c: v[order].astype(_TYPES[c]) for c, v in values.items()}
+        to, text, often = to[order], text[order], (parts > 1)[order]
+        new_row = np.r_[True, (to[1:] != to[:-1]) | (often[1:] != often[:-1])]
+        new_text = new_row | np.r_[True, text[1:] != text[:-1]]
+        firsts = np.flatnonzero(new_text)
+        values["count"] = np.diff(np.r_[firsts, len(to)]).astype(np.int32)
+        for c in ("doc_id", "version"):
+            values[c] = values[c][firsts]
+        cut = np.r_[np.flatnonzero(new_row), len(to)]
+        texts_cut = np.searchsorted(firsts, cut)
+        out = {"bucket": to[cut[:-1]], "hot": often[cut[:-1]]}
+        for c in _PACKED:
+            ends = texts_cut if c in ("doc_id", "version", "count") else cut
+            out[c] = [b"" if c in ("gram", "parts") and not f else values[c][a:b].tobytes() for a, b, f in zip(ends[:-1], ends[1:], out["hot"], strict=True)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out.values())], names=list(out))
+
+    return work
+
+
+def _unpacked(rows: dict[str, list[bytes]]) -> dict[str, np.ndarray]:
+    out = {c: np.frombuffer(b"".join(rows[c]), _TYPES[c]) for c in _PACKED}
+    for c in ("doc_id", "version"):
+        out[c] = np.repeat(out[c], out["count"])
+    return out
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _hot_firsts(*columns):
+    """The first place of each window of the hot grams in these rows, and the number of its places."""
+    x = _unpacked(dict(zip(_PACKED, columns, strict=True)))
+    order = np.lexsort((x["run"], x["version"], x["doc_id"], x["h"]))
+    x = {c: x[c][order] for c in ("h", "gram", "parts", "doc_id", "version", "run")}
+    new = _changes(x["h"], x["doc_id"], x["version"], x["run"])
+    first = np.flatnonzero(_changes(x["h"]))
+    out = [x[c][first] for c in ("h", "gram", "parts", "doc_id", "version", "run")]
+    out = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in out]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.add.reduceat(new.astype(np.int64), first))], names=["h", "gram", "parts", "doc_id", "version", "run", "places"])
+
+
+def _to_parts(buckets: int):
+    """One row for each bucket that may hold windows of a hot gram."""
+
+    def work(h, gram, parts, doc_id, version, run):
+        n = np.array(parts, np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        to = _part(np.array(gram, np.int64).view(np.uint64)[row], part, buckets)
+        columns = [to, *(np.array(c, np.int64)[row] for c in (h, doc_id, version, run))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["bucket", "h", "doc_id", "version", "run"])
+
+    return work
+
+
+SPAN_DDL = "doc_id long, version long, kept boolean, first int, last int, line int, start int, end int, nodes array<long>"
+
+
+def _spans(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Stretches of repeated windows in one bucket, those of first places apart: equal windows share a ``node``, by which
+    a repeat is linked with its first place."""
+    packed = {c: left.column(c).to_pylist() for c in _PACKED}
+    x = _unpacked(packed)
+    flags = np.repeat(np.array(left.column("hot").to_pylist(), bool), np.array([len(h) // 8 for h in packed["h"]], np.int64))
+    del x["gram"], x["parts"], x["count"]
+    place = ("doc_id", "version", "run")
+    # windows of one bucket only: the first of the equal ones by place
+    order = np.lexsort((x["run"], x["version"], x["doc_id"], x["h"]))
+    order = order[~flags[order]]
+    first = np.flatnonzero(_changes(x["h"][order]))
+    ends = np.r_[first[1:], len(order)][: len(first)] - 1
+    size = ends - first + 1
+    repeated = np.zeros(len(size), bool)
+    for c in place:
+        repeated |= x[c][order[first]] != x[c][order[ends]]
+    low = {c: np.repeat(x[c][order[first]], size) for c in place}
+    own = np.repeat(repeated, size)
+    rows, low = order[own], {c: v[own] for c, v in low.items()}
+    # windows of hot grams: by the places found over all buckets
+    hot = np.flatnonzero(flags)
+    if len(hot) and right.num_rows:
+        h = right.column("h").to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        at = np.minimum(np.searchsorted(h[by], x["h"][hot]), len(h) - 1)
+        known = h[by][at] == x["h"][hot]
+        hot, at = hot[known], by[at[known]]
+        rows, low = np.r_[rows, hot], {c: np.r_[low[c], right.column(c).to_numpy()[at]] for c in place}
+    kept = np.ones(len(rows), bool)
+    for c in place:
+        kept &= x[c][rows] == low[c]
+    order = np.lexsort((x["at"][rows], kept, x["version"][rows], x["doc_id"][rows]))
+    rows, kept, low = rows[order], kept[order], {c: v[order] for c, v in low.items()}
+    x = {c: v[rows] for c, v in x.items()}
+    flags = flags[rows]
+    shift = np.where(kept, 0, low["run"] - x["at"])
+    new = _changes(x["doc_id"], x["version"], kept, x["at"] - np.arange(len(rows)), shift, *(np.where(kept, 0, low[c]) for c in ("doc_id", "version")))
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(rows)][: len(first)] - 1
+    asked = np.zeros(len(rows), bool)
+    asked[first] = True
+    asked &= ~kept
+    asked |= kept & (flags | np.isin(x["h"], x["h"][asked]))
+    nodes = pa.ListArray.from_arrays(
+        pa.array(np.r_[0, np.cumsum(np.add.reduceat(asked.astype(np.int32), first))] if len(first) else [0], pa.int32()), pa.array(x["h"][asked].view(np.int64))
+    )
+    columns = [
+        x["doc_id"][first], x["version"][first], kept[first], x["at"][first], x["at"][last], x["line"][first], x["start"][first], x["end"][last],
+    ]
+    return pa.Table.from_arrays([*map(pa.array, columns), nodes], names=["doc_id", "version", "kept", "first", "last", "line", "start", "end", "nodes"])
+
+
+def _spans_of(left: pa.Table, right: pa.Table) -> pa.Table:
+    out = _spans(left, right)
+    give_back()
+    return out
 
 
 def _passages(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     """One row per passage that stands in two places or more, outside the lines of ``cuts`` (doc_id, version, lines)."""
     key = ["doc_id", "version"]
-    grams = settle(map_arrow(texts, _winnowed, "doc_id long, version long, gram long, n long"), "grams")
-    shared = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    asked = settle(grams.join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams")).join(cuts, key, "left"), "asked")
+    grams = settle(map_arrow(texts, _winnowed, "doc_id long, version long, gram long"), "grams")
+    shared = settle(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = F.when(F.col("n") > HOT, F.struct("gram", F.ceil(F.col("n") / HOT).alias("parts")))
+    asked = settle(
+        grams.join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams"), F.collect_set(hot).alias("hot")).join(cuts, key, "left"), "asked"
+    )
     need = settle(asked.select("doc_id").distinct(), "need")
-    rows = only(texts, need).join(asked, key).select(*key, "text", "lines", "grams")
-    schema = "h long, doc_id long, version long, run long, at long, line int, start long, end long"
-    windows = settle(map_arrow(rows, _placed_windows, schema), "windows")
-    place = F.struct(*key, "run")
-    firsts = windows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h", "first")
-    found = windows.join(firsts, "h").select(*windows.columns, (place == F.col("first")).alias("kept")).distinct()
-    order = Window.partitionBy(*key, "kept").orderBy("at")
-    begun = F.when(F.col("at") - F.lag("at").over(order) <= PASSAGE, None).otherwise(F.col("at"))
-    found = found.withColumn("begun", begun).withColumn("begun", F.last("begun", True).over(order))
+    rows = only(texts, need).join(asked, key).select(*key, "text", "lines", "grams", "hot")
+    # a place of a gram is selected by 26 windows at most
+    most = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (PASSAGE - GRAM + 1)
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // BUCKET))
+    packed = "bucket long, hot boolean, " + ", ".join(f"{c} binary" for c in _PACKED)
+    windows = settle(map_arrow(rows, _placed_windows(buckets), packed), "windows")
+    found = "h long, gram long, parts long, doc_id long, version long, run long"
+    firsts = map_arrow(windows.where("hot").select(*_PACKED), _hot_firsts, found + ", places long")
+    firsts = firsts.groupBy("h").agg(
+        F.min("gram").alias("gram"), F.min("parts").alias("parts"), F.min(F.struct("doc_id", "version", "run")).alias("first"), F.sum("places").alias("places")
+    ).where("places > 1").select("h", "gram", "parts", "first.*")
+    firsts = map_arrow(firsts, _to_parts(buckets), "bucket long, h long, doc_id long, version long, run long")
+    spans = settle(windows.groupBy("bucket").cogroup(firsts.groupBy("bucket")).applyInArrow(_spans_of, SPAN_DDL), "spans")
+    order = Window.partitionBy(*key, "kept").orderBy("first")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.when(F.col("first") - reached <= PASSAGE, None).otherwise(F.col("first"))
+    found = spans.withColumn("begun", begun).withColumn("begun", F.last("begun", True).over(order))
     found = settle(found.withColumn("id", F.xxhash64(*key, "kept", "begun")), "repeats")
-    ends = found.where("kept").select("h", F.col("id").alias("a")).distinct()
-    clusters = components(found.where("not kept").select("h", F.col("id").alias("b")).join(ends, "h").select("a", "b").distinct())
-    spans = found.groupBy("id", *key, "kept").agg(F.min("line").alias("line"), F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"))
-    spans = spans.join(clusters.withColumnRenamed("component", "cluster"), "id")
-    sizes = spans.groupBy("cluster").agg(F.count("*").alias("copies"))
-    return spans.join(sizes, "cluster").select(*key, "line", "start", "length", "cluster", "copies", "kept")
+    clusters = components(found.select(F.col("id").alias("a"), F.explode("nodes").alias("b")).distinct())
+    whole = found.groupBy("id", *key, "kept").agg(
+        F.min("line").alias("line"), F.min("start").cast("long").alias("start"), (F.max("end") - F.min("start")).cast("long").alias("length")
+    )
+    whole = whole.join(clusters.withColumnRenamed("component", "cluster"), "id")
+    sizes = whole.groupBy("cluster").agg(F.count("*").alias("copies"))
+    return whole.join(sizes, "cluster").select(*key, "line", "start", "length", "cluster", "copies", "kept")
 
 
 def _repeats(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:

@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handled at once inside a task; an Arrow batch may hold more.
-SLICE = 1024
+#: Rows and bytes of texts handled at once inside a task, one row at least; an Arrow batch may hold more.
+SLICE, SLICE_BYTES = 1024, 4 << 20
 #: Ids that may be broadcast: about 24 MB as a hashed relation.
 BROADCAST_IDS = 1_000_000
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to ``SLICE`` rows and ``SLICE_BYTES`` of texts."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        end = min(max(upto, at + 1), at + SLICE)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def give_back() -> None:
+    """Memory that a worker holds but no longer uses, back to the system: workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work`` takes the columns of up to ``SLICE`` rows as lists and yields record batches."""
+    """``work`` takes the columns of one of the ``slices`` as lists and yields record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield from work(*(c.to_pylist() for c in batch.slice(at, SLICE).columns))
+            for part in slices(batch):
+                yield from work(*(c.to_pylist() for c in part.columns))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
