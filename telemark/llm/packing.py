@@ -7,6 +7,8 @@ copies of a pattern at a time. The patterns come back as slots: for every length
 of its pieces by rank fall into which pattern and copy. A piece's rank within its length comes from row numbers
 within slices of a length plus the slices' running counts, so a length that a third of all pieces share is no one task's work.
 
+Ids are the untouched library's: an added token's string in a text is that token.
+
 Defined results: a null text and an empty one are the single id 0; rows with equal ids are packed each
 (their ranks are told apart by start and contents only, so equal rows are interchangeable); a null id is kept as null; an empty table
 gives an empty result; extra columns are not read. The last sequence may be short, like any other.
@@ -15,6 +17,7 @@ gives an empty result; extra columns are not read. The last sequence may be shor
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -32,8 +35,8 @@ from telemark.session import settle
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of one length that one task ranks together.
 SLICE_ROWS = 200_000
-#: Pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Bytes of pre-tokens, ids and table entries that a worker remembers before it starts anew, and the longest pre-token it keeps.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 48 << 20, 200, 64
 
 def _byte_characters() -> dict[int, str]:
     """The character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
@@ -50,20 +53,30 @@ class _Encoder(dict):
     """Pre-token -> its ids as bytes; the tokenizer is asked once for each pre-token met."""
 
     def __init__(self, path: str) -> None:
-        # special tokens' strings in a text are ordinary text: the model alone is asked
-        self.model = Tokenizer.from_file(path).model
+        library = Tokenizer.from_file(path)
+        self.model, self.left = library.model, REMEMBERED_BYTES
         self.split = splitter(public_tokenizers.PATTERN)
+        # added tokens come before the pattern, as in the untouched library
+        self.added = {t.content: struct.pack("<I", i) for i, t in library.get_added_tokens_decoder().items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split if self.added else lambda text: [text]
 
     def __missing__(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_CHARACTERS))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+        ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+        if len(word) <= LONGEST:
+            self.left -= ENTRY_BYTES + len(ids)
+            if self.left < 0:
+                self.clear()
+                self.left = REMEMBERED_BYTES
+            self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.__getitem__, self.split(text)))
+        parts = self.parts(text)
+        if len(parts) == 1:
+            return b"".join(map(self.__getitem__, self.split(text)))
+        return b"".join(self.added[p] if k % 2 else b"".join(map(self.__getitem__, self.split(p))) for k, p in enumerate(parts))
 
 
 def encoder(path: str) -> _Encoder:

@@ -140,11 +140,13 @@ def test_large_bucket_is_compared_beyond_its_leaders(spark):
         links.append((k, k + 1))
     sets = {i: shingle_set(t) for i, t in rows}
     assert all(alike(sets[a], sets[b]) for a, b in links) and not alike(sets[0], sets[2])
-    clusters = {}
-    for r in paragraphs.repeated_paragraphs(table(spark, rows)).collect():
-        clusters.setdefault(r.cluster, set()).add(r.doc_id)
+    clusters, passages = {}, {}
+    for r in paragraphs._repeats(table(spark, rows)).collect():
+        (clusters if r.whole else passages).setdefault(r.cluster, set()).add(r.doc_id)
     found = {tuple(sorted(c)) for c in clusters.values()}
     assert found <= set(links) and len(found) >= 0.995 * len(links)
+    # the form itself is a passage of 64 words in what the line stage leaves: one cluster of the lines kept
+    assert len(passages) == 1 and {a for a, _ in links} <= set().union(*passages.values())
 
 
 def test_passages_whatever_the_line_breaks(spark):
@@ -195,9 +197,9 @@ def test_patterns_hold_the_histogram():
 
 def test_packing_is_whole(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()] + [(10_000 + (i or 0), t) for i, t in ODD if i != 5]
-    got = packing.packed(table(spark, rows), 1024).toPandas()
+    rows += [(20_000, "<|endoftext|>"), (20_001, " a <|endoftext|>\n\n <|endoftext|><|endoftext|>b  "), (20_002, "<|endoftext| >")]
+    got = packing.packed(table(spark, rows).withColumns({c: F.lit("clash") for c in ("length", "start", "_slice")}), 1024).toPandas()
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     for i, t in rows:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
         mine = got[got.doc_id == i].sort_values("start")
@@ -212,6 +214,17 @@ def test_packing_is_whole(spark, documents):
     assert packing.packed(table(spark, [])).count() == 0
 
 
+def test_packing_of_null_and_equal_ids(spark):
+    rows = [(None, "one two"), (None, "one two"), (7, "three"), (7, "three"), (7, "four five six"), (None, None)]
+    got = [tuple(r) for r in packing.packed(table(spark, rows), 1024).select("doc_id", "start", "length", "ids_crc32").collect()]
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in rows:
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, 0, len(ids), zlib.crc32(ids.tobytes())))
+    assert Counter(got) == Counter(want)
+
+
 def test_encoding_is_the_librarys(spark, documents):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
