@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from telemark.functions import wire
 from telemark.operators.scale import attach_group_facts
+from telemark.operators.sequence import STATE_CONFLICT
 
 PACKET_KEY = ["payload_id", "boot_id", "sequence_number"]
 # Fixed value: every delivery of one listener has its authenticated peer.
@@ -204,7 +205,9 @@ def receipts(outcome: DataFrame, identity: str = VENDOR_IDENTITY) -> DataFrame:
         F.sha2("raw_body", 256).alias("body_sha256"),
         "validation_status",
         "rejection_reason",
-        F.when(has_packet(), wire.parsed_identifiers()).alias("parsed_identifiers"),
+        F.when(
+            has_packet() | F.col("rejection_reason").eqNullSafe(STATE_CONFLICT), wire.parsed_identifiers()
+        ).alias("parsed_identifiers"),
         linked.alias("duplicate_of_receipt_id"),
         F.when(has_packet(), wire.packet_id(*PACKET_KEY)).alias("logical_packet_id"),
         F.when(F.col("validation_status") == "ACCEPTED", "QUEUED")

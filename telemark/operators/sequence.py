@@ -31,6 +31,7 @@ SESSION = ["payload_id", "boot_id"]
 BLOCK_NUMBERS = 1 << 18
 # Receipt time of the row that stands for a stored mark.
 SEED_US = -(1 << 62)
+STATE_CONFLICT = "SEQUENCE_STATE_CONFLICT"
 MODULUS, HALF_RANGE = interval_maps.MODULUS, interval_maps.HALF_RANGE
 # Rows of a wide session's slice.
 SLICE_ROWS = 1 << 17
@@ -152,20 +153,27 @@ def _disposition() -> dict[str, Column]:
 
 
 def state_conflicts(packets: DataFrame, state: DataFrame) -> DataFrame:
-    """Packets of a later load whose number equals the stored mark although no
-    stored packet has it: the stored state contradicts the permanent records.
+    """Packets of a later load that equal the stored mark while it stands, although no
+    stored packet has that number: the state contradicts the permanent records.
 
-    They are reported, not disposed; see ``sequence_disposition``.
+    A packet that arrives after another one of the load has moved the mark is an
+    ordinary late one. Conflicts are reported, not disposed; the caller leaves them out.
     """
-    marks = state.select(*SESSION, F.col("high_water_sequence").alias("sequence_number"))
-    return packets.join(marks, [*SESSION, "sequence_number"], "left_semi").withColumn(
-        "state_conflict", F.lit("SEQUENCE_STATE_CONFLICT")
+    s, mark = F.col("sequence_number"), F.col("high_water_sequence")
+    place = F.struct("received_us", "delivery_id")
+    met = packets.join(state.select(*SESSION, "high_water_sequence"), SESSION)
+    moved = met.where(F.pmod(s - mark, F.lit(MODULUS)).between(1, HALF_RANGE - 1)).groupBy(*SESSION).agg(F.min(place).alias("_moved"))
+    stands = F.col("_moved").isNull() | (place < F.col("_moved"))
+    return (
+        met.where(s == mark).join(moved, SESSION, "left").where(stands)
+        .select(*packets.columns, F.lit(STATE_CONFLICT).alias("state_conflict"))
     )
 
 
-def _seeded(packets: DataFrame, state: DataFrame) -> DataFrame:
+def _seeded(packets: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New packets behind one row per stored session that stands for its mark:
-    earlier than any delivery, so the same rules continue from it."""
+    earlier than any delivery, so the same rules continue from it. Apart from
+    them, the packets that have the mark's own number: it has been left behind."""
     marks = state.select(*SESSION, F.col("high_water_sequence").alias("sequence_number"))
     sessions = packets.select(*SESSION).distinct()
     seeds = marks.join(sessions, SESSION, "left_semi").select(
@@ -174,7 +182,8 @@ def _seeded(packets: DataFrame, state: DataFrame) -> DataFrame:
         F.lit(-1).cast("bigint").alias("delivery_id"),
     )
     fresh = packets.join(marks, [*SESSION, "sequence_number"], "left_anti")
-    return fresh.select(*KEPT).unionByName(seeds)
+    again = packets.join(marks, [*SESSION, "sequence_number"], "left_semi")
+    return fresh.select(*KEPT).unionByName(seeds), again.select(*KEPT)
 
 
 def sequence_disposition(
@@ -192,19 +201,28 @@ def sequence_disposition(
     because its carries and the test for wide sessions read it several times.
 
     With ``state``, the sequence state of earlier loads, the sessions continue
-    from their stored marks; ``packets`` then holds only new packet keys, and
-    ``merged_state`` gives the state after the load.
+    from their stored marks; ``packets`` then holds only new packet keys without
+    ``state_conflicts``, and ``merged_state`` gives the state after the load.
     """
-    kept = packets.select(*KEPT) if state is None else _seeded(packets, state)
+    again = None
+    if state is None:
+        kept = packets.select(*KEPT)
+    else:
+        kept, again = _seeded(packets, state)
     if not settled or state is not None:
         kept = settle(kept)
     rows = kept.withColumn("block", block_of("sequence_number", block_rows))
     carries = _block_carries(_blocks(rows))
     narrow = _narrow_disposition(rows, carries)
     wide_sessions = carries.where("is_wide").select(*SESSION).distinct()
+    late = F.lit(None).cast("bigint").alias("high_water_before"), F.lit(True).alias("is_late")
     if not wide_sessions.isEmpty():
-        wide_rows = rows.join(wide_sessions, SESSION, "left_semi")
+        wide_rows = kept if again is None else kept.unionByName(again)
+        wide_rows = wide_rows.join(wide_sessions, SESSION, "left_semi")
         narrow = narrow.unionByName(_wide_disposition(wide_rows, slices))
+        again = again and again.join(wide_sessions, SESSION, "left_anti")
+    if again is not None:
+        narrow = narrow.unionByName(again.select(*KEPT, *late))
     if state is not None:
         narrow = narrow.where(F.col("received_us") != SEED_US)
     return narrow.withColumns(_disposition()).select(

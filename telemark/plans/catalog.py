@@ -16,7 +16,7 @@ from telemark.operators import command_history as command_history_
 from telemark.plans.tables import Tables
 from telemark.session import settle
 from telemark.sources import command_sample, sample
-from telemark.streaming import ledger
+from telemark.streaming import ledger, loads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -801,3 +801,31 @@ def ledger_load(t):
     columns = ["delivery_id", "is_replay", "validation_status", "rejection_reason", "response_code",
                "origin_delivery_id"]
     return first.select(*columns).unionByName(second.select(*columns))
+
+
+def _oversize(t):
+    """Copies of every 301st event's first delivery with a body over the evidence cap."""
+    first = t.deliveries().where("delivery_id % 8 = 0 and (delivery_id div 8) % 301 = 0")
+    return first.select(
+        (F.col("delivery_id") + 7).alias("delivery_id"), "received_us", F.lit(None).cast("string").alias("request_id"), "content_type",
+        F.repeat(F.lit("x"), 1025).cast("binary").alias("raw_body"),
+    )
+
+
+@query
+def ledger_loads(t):
+    """Four loads by receipt time, one of them tried again, each published whole:
+    the audit history that the ledger holds afterwards."""
+    stored = loads.Ledger(t.spark, t.scratch("ledger"))
+    arrived = settle(t.deliveries().unionByName(_oversize(t)), "arrived")
+
+    def worker(packets):
+        work = sample.jobs(packets.withColumnRenamed("source_receipt_id", "delivery_id"))
+        attempts = sample.attempts(work)
+        return attempts, jobs.job_status(work, attempts)
+
+    edges = [sample.SHIFT_US + (1704067200 + 604800 * k) * 1000000 for k in range(1, 4)]  # weeks of January before the shift
+    slot = sum((F.col("received_us") >= edge).cast("int") for edge in edges)
+    for number in (0, 1, 1, 2, 3):
+        stored.load(number, arrived.where(slot == number), worker)
+    return stored.table("audit").drop("event_data", "load")

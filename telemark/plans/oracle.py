@@ -1029,3 +1029,12 @@ ORACLES["delivery_stream"] = with_(
 )
 
 ORACLES["ledger_load"] = ORACLES["delivery_outcome"]
+
+ORACLES["ledger_loads"] = with_(
+    AUDIT,
+    """SELECT * FROM au WHERE event_id NOT LIKE 'B-%' UNION ALL BY NAME
+      SELECT 'B-' || (delivery_id + 7) AS event_id, received_us AS occurred_us, 'ground-api' AS service_name,
+        'telemetry.delivery.security_rejected' AS event_name, 'local-token:vendor-simulator' AS actor_identity, 'REJECTED' AS outcome,
+        'BODY_TOO_LARGE' AS reason, NULL::BIGINT AS receipt_id, NULL::VARCHAR AS packet_id, NULL::VARCHAR AS job_id
+      FROM d WHERE copy = 0 AND e % 301 = 0""",
+)

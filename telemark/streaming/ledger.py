@@ -227,6 +227,7 @@ def bulk_sink(root: str):
         if batch_id:
             state = spark.read.parquet(f"{root}/sequence_state/batch_id={batch_id - 1}")
             sequence.state_conflicts(accepted, state).write.mode("overwrite").parquet(folders["state_conflicts"])
+            accepted = accepted.join(spark.read.parquet(folders["state_conflicts"]).select("delivery_id"), "delivery_id", "left_anti")
         sequence.sequence_disposition(accepted, state, settled=True).write.mode(
             "overwrite"
         ).parquet(folders["packets"])
