@@ -15,7 +15,7 @@ from telemark.operators import (
 from telemark.operators import command_history as command_history_
 from telemark.plans.tables import Tables
 from telemark.session import settle
-from telemark.sources import command_sample, sample
+from telemark.sources import arrivals, command_sample, sample
 from telemark.streaming import ledger, loads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -784,8 +784,8 @@ def delivery_stream(t):
     def sink(batch, batch_id):
         batch.select(*columns).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
-    source = ledger.read_deliveries(t.spark, t.arrivals())
-    ledger.run_available(ledger.delivery_stream(source), sink, f"{out}/checkpoint")
+    source = arrivals.read_stream(t.spark, t.arrivals(), f"{out}/checkpoint", 8)
+    arrivals.run_caught_up(ledger.delivery_stream(source), sink, f"{out}/checkpoint")
     return t.spark.read.parquet(f"{out}/rows").select(*columns)
 
 

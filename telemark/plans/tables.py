@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from telemark.operators import audit, identity, jobs, legacy, results, sequence
 from telemark.session import settle, shared_folder, use_utc
-from telemark.sources import command_sample, landing, sample
+from telemark.sources import arrivals, command_sample, sample
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 _LANDED: dict[tuple[str, str], str] = {}
@@ -35,11 +35,11 @@ class Tables:
         return _WRITTEN[key].select("*")
 
     def arrivals(self) -> str:
-        """Folder of the deliveries in arrival order, for stream readers."""
+        """Folder of the deliveries landed in arrival order, for stream readers."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _LANDED:
             path = self.scratch("arrivals")
-            landing.land_in_order(self.deliveries(), path)
+            arrivals.land(self.deliveries(), path, 0)
             _LANDED[key] = path
         return _LANDED[key]
 
