@@ -1,20 +1,25 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score each document.
 
-Both models give a word ``w`` after ``v`` the probability (n(vw) + m / V) / (c(v) + m), with
-the same m and the same V, the distinct words of all documents and the sentence mark. The target's counts come
-from the documents named in ``target``, the background's from all documents. A document's
+Both models interpolate a bigram and a unigram in the logarithm: MIX log p(w | v) + (1 - MIX) log p(v), up to what both share, with
+p(w | v) = (n(vw) + m u(w)) / (c(v) + m), backed by a unigram u(w) = (c(w) + 1) / (N + V) that both models share, and p(v) = (c(v) + m) / (N + m V)
+of their own. Unigrams are counted over the words that have a successor; V is the number of distinct words and the sentence mark. MIX is small,
+since bigrams of few documents tell more about what was seen than about what is alike.
+The models are matched: the background's counts are scaled to the target's number of words, or smoothing would favour the smaller one
+wherever both know little. The target's counts come from the documents named in ``target``, the background's from all documents, and
+**each document is scored without its own counts**, in both models: a target document gets what it would get had it been held out. A document's
 score is the mean over its words of the target's loss less the background's, in nats: lower is closer to the target.
 
-The loss difference is a sum of one term per bigram and one per context word, so each term needs the counts
-of its own gram alone. Tasks send every document's distinct grams, packed, to buckets by hash;
-a bucket adds up the counts, works out each gram's term and returns partial sums per document. No text is
+The loss difference is a sum of one term per bigram and one per context word. Tasks send every document's distinct grams, packed, to
+buckets by hash, bigrams by that of their second word, whose own count is there too (for a frequent second word, by their own: its count is
+broadcast); a bucket adds up the counts, works out each gram's term and returns partial sums per document. A bucket tells
+words by 32 bits of hash more than its own, and a word's bigrams by 30. No text is
 moved and no model is broadcast. Words and bigrams that make up 1 / HOT of all words or
 more are at most HOT each by arithmetic; they are counted beforehand, broadcast and never sent, so a
 pair that stands in every document is no hot bucket.
 
 Defined results: null and empty texts and texts of white space have no words and score 0.0; each row is scored
 on its own, so repeated rows repeat in the result and count twice in the models; rows with a null id are scored and
-are never targets; without targets the target model is uniform; an empty table gives an empty result; extra columns are not read.
+are never targets; without targets the target model is uniform; copies of a document keep their counts, a row leaves out its own only; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemark.llm.rows import _FACTORS, BROADCAST_IDS, mixed
+from telemark.llm.rows import _FACTORS, BROADCAST_IDS, give_back, mixed, slices
 from telemark.session import settle
 
-PRIOR = 1.0
+PRIOR, MIX = 1.0, 0.1
 HOT = 4096
 #: Grams that one task holds together.
-BUCKET = 3_000_000
+BUCKET = 1_500_000
 START = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
 
 
@@ -46,7 +51,10 @@ def _hashed(text: str | None) -> np.ndarray:
 
 def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(contexts, bigrams) of a text, one of each per word."""
-    w = _hashed(text)
+    return _grams_of(_hashed(text))
+
+
+def _grams_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = np.concatenate([[START], w[:-1]]) if len(w) else w
     return v, mixed(v * _FACTORS[0] + w * _FACTORS[1])
 
@@ -103,99 +111,136 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Terms:
-    """The loss difference's terms: of a bigram's counts and of a context's."""
+    """The loss difference's terms: of a bigram's counts and of a context's, without the document's own."""
 
-    def __init__(self, vocabulary: int, prior: float) -> None:
-        self.share, self.prior = prior / max(1, vocabulary), prior
+    def __init__(self, vocabulary: int, prior: float, words: int, target_words: int) -> None:
+        self.prior, self.all = prior, max(1, words + vocabulary)
+        self.scale = target_words / words if target_words else 1.0
 
-    def __call__(self, context: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-        plus = np.where(context, self.prior, self.share)
-        gain = np.log(n + plus) - np.log(t + plus)
-        return np.where(context, -gain, gain)
+    def __call__(self, context: np.ndarray, n: np.ndarray, t: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """``low``: how often the bigram's second word is a context."""
+        plus = np.where(context, self.prior, self.prior * (low + 1) / self.all)
+        out = np.log(n * self.scale + plus)
+        out -= np.log(t + plus)
+        # a context is the bigram's condition and a word of the unigram
+        return out * np.where(context, 1 - 2 * MIX, MIX)
 
 
-MOVED = pa.schema([("bucket", pa.int64()), ("batch", pa.string()), ("docs", pa.binary()), ("words", pa.binary()), ("low", pa.binary()), ("mid", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
+MOVED = pa.schema([("bucket", pa.int64()), ("batch", pa.string()), ("docs", pa.binary()), ("words", pa.binary()), ("key", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("t", pa.binary())])
 PARTIAL = "batch string, docs binary, words binary, sums binary"
 
 
-def _moved(buckets: int, hot):
+def _places(sorted_values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked value stands, and whether it does."""
+    if not len(sorted_values):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)
+    return place, sorted_values[place] == asked
+
+
+def _moved(buckets: int, hot, terms: _Terms):
     """Per batch of rows: a head row with the ids, word counts and the hot grams' sums, and a row for each bucket met."""
 
     def work(batches):
-        grams, terms = hot.value
+        grams, totals, targets, often, often_n = hot.value
         number = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for b in slices(whole):
                 name = f"{TaskContext.get().partitionId()}-{number}"
                 number += 1
-                key, doc, count, target, sums, n_words = [], [], [], [], np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+                key, to, doc, count, target, sums, n_words = [], [], [], [], [], np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
                 for i, (text, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                    v, g = _grams(text)
+                    w = _hashed(text)
+                    v, g = _grams_of(w)
                     n_words[i] = len(v)
                     # the lowest bit tells contexts from bigrams
-                    found, n = np.unique(np.concatenate([v | np.uint64(1), g & ~np.uint64(1)]), return_counts=True)
-                    place = np.searchsorted(grams, found)
-                    place[place == len(grams)] = 0
-                    known = grams[place] == found if len(grams) else np.zeros(len(found), bool)
-                    sums[i] = (terms[place[known]] * n[known]).sum() if known.any() else 0.0
-                    key.append(found[~known])
-                    doc.append(np.full(len(key[-1]), i, np.uint16))
-                    count.append(n[~known])
-                    target.append(np.full(len(key[-1]), t, np.uint8))
-                key, doc, count, target = map(np.concatenate, (key, doc, count, target))
+                    found, first, n = np.unique(np.concatenate([v | np.uint64(1), g & ~np.uint64(1)]), return_index=True, return_counts=True)
+                    context = first < len(v)
+                    second = np.where(context, found, np.concatenate([v, w])[first] | np.uint64(1))
+                    at_word, frequent = _places(often, second)
+                    place, known = _places(grams, found)
+                    known &= context | frequent
+                    if known.any():
+                        at, own = place[known], n[known]
+                        value = terms(context[known], totals[at] - own, targets[at] - own * t, often_n[at_word[known]])
+                        sums[i] = (value * own).sum()
+                    sent = ~known
+                    found, context, second, frequent = found[sent], context[sent], second[sent], frequent[sent] & ~context[sent]
+                    low = np.where(context, np.uint64(1), (found & np.uint64(0xFFFFFFFC)) | frequent.astype(np.uint64) << np.uint64(1))
+                    key.append(second >> np.uint64(32) << np.uint64(32) | low)
+                    to.append((mixed(np.where(frequent, found, second)) >> np.uint64(20)) % np.uint64(buckets))
+                    doc.append(np.full(len(found), i, np.uint16))
+                    count.append(n[sent])
+                    target.append(np.full(len(found), t, np.uint8))
+                key, to, doc, count, target = map(np.concatenate, (key, to, doc, count, target))
                 # a count takes one byte; a larger one is several entries
                 more = (np.maximum(count, 1) + 254) // 255
                 if len(more) and more.max() > 1:
                     rest = count - 255 * (more - 1)
                     last = np.cumsum(more) - 1
-                    key, doc, target, count = np.repeat(key, more), np.repeat(doc, more), np.repeat(target, more), np.full(more.sum(), 255)
+                    key, to, doc, target, count = *(np.repeat(x, more) for x in (key, to, doc, target)), np.full(more.sum(), 255)
                     count[last] = rest
-                count = count.astype(np.uint8)
-                # 48 bits travel; the bucket tells the rest apart
-                to = ((mixed(key) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                key, doc, count, target, to = (x[order] for x in (key, doc, count, target, to))
+                key, doc, count, target, to = (x[order] for x in (key, doc, count.astype(np.uint8), target, to.astype(np.int64)))
                 ids = np.array([-1 if x is None else x for x in b.column(0).to_pylist()], np.int64)
                 nulls = np.array([x is None for x in b.column(0).to_pylist()], np.uint8)
-                rows = [(xxhash.xxh3_64_intdigest(name) % buckets, name, ids.tobytes() + nulls.tobytes(), n_words.tobytes(), sums.tobytes(), b"", b"", b"", b"")]
+                rows = [(xxhash.xxh3_64_intdigest(name) % buckets, name, ids.tobytes() + nulls.tobytes(), n_words.tobytes(), sums.tobytes(), b"", b"", b"")]
                 starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
                 for x, y in zip(starts, [*starts[1:], len(to)], strict=False):
-                    k = key[x:y]
-                    rows.append((int(to[x]), name, None, None, k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes(), doc[x:y].tobytes(), count[x:y].tobytes(), target[x:y].tobytes()))
+                    rows.append((int(to[x]), name, None, None, key[x:y].tobytes(), doc[x:y].tobytes(), count[x:y].tobytes(), target[x:y].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MOVED, strict=True)], schema=MOVED)
+        give_back()
 
     return work
 
 
-def _summed(terms: _Terms):
+def _summed(terms: _Terms, hot):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = pdf["docs"].notna()
-        out = pdf.loc[heads, ["batch", "docs", "words", "low"]].rename(columns={"low": "sums"})
+        out = pdf.loc[heads, ["batch", "docs", "words", "key"]].rename(columns={"key": "sums"})
         body = pdf[~heads]
         if not len(body):
             return out
         read = lambda k, t: np.frombuffer(b"".join(body[k]), t)
-        key = read("mid", np.uint16).astype(np.uint64)
-        key <<= np.uint64(32)
-        key |= read("low", np.uint32)
+        key = read("key", np.uint64)
         order = np.argsort(key)
         key = key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        context = (key[starts] & np.uint64(1)).astype(bool)
+        distinct = key[starts]
         del key
         n = read("n", np.uint8)
         total = np.add.reduceat(n[order], starts, dtype=np.int64)
-        target = np.add.reduceat((n * read("t", np.uint8))[order], starts, dtype=np.int64)
+        # the counts of the bigrams' second words: here, or among the frequent ones
+        word = distinct >> np.uint64(32)
+        at, here = _places(distinct, word << np.uint64(32) | np.uint64(1))
+        low = np.where(here, total[at], 0)
+        _, _, _, often, often_n = hot.value
+        if len(often):
+            by = np.argsort(often >> np.uint64(32))
+            at, known = _places((often >> np.uint64(32))[by], word)
+            frequent = known & (distinct >> np.uint64(1) & np.uint64(1)).astype(bool)
+            low = np.where(frequent, often_n[by][at], low)
+        context = (distinct & np.uint64(1)).astype(bool)
+        t, doc = read("t", np.uint8), read("at", np.uint16)
+        ends = np.cumsum([len(x) // 2 for x in body["at"]])
+        own = n[order].astype(np.int32)
+        group = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(order)]))
+        target = np.add.reduceat(own * t[order], starts, dtype=np.int64)
+        # a count of over 254 is several entries of one document, which leave out all of them
+        split = np.flatnonzero(np.isin(group, group[own == 255]))
+        if len(split):
+            row = np.searchsorted(ends, order[split], side="right") << 16 | doc[order[split]]
+            _, at = np.unique(np.stack([group[split], row]), axis=1, return_inverse=True)
+            own[split] = np.bincount(at.ravel(), own[split])[at.ravel()]
         value = np.empty(len(order))
-        value[order] = np.repeat(terms(context, total, target), np.diff(np.r_[starts, len(order)]))
+        value[order] = terms(context[group], total[group] - own, target[group] - own * t[order], low[group])
         value *= n
-        doc = read("at", np.uint16)
-        ends = np.cumsum([len(x) // 2 for x in body["at"]])
         sums = []
         for a, z in zip([0, *ends[:-1]], ends, strict=True):
             sums.append(np.bincount(doc[a:z], value[a:z], int(doc[a:z].max()) + 1).tobytes())
-        return pd.concat([out, pd.DataFrame({"batch": body["batch"], "docs": None, "words": None, "sums": sums})])
+        out = pd.concat([out, pd.DataFrame({"batch": body["batch"], "docs": None, "words": None, "sums": sums})])
+        give_back()
+        return out
 
     return work
 
@@ -210,7 +255,7 @@ def _scored(pdf: pd.DataFrame) -> pd.DataFrame:
     for raw in sorted(pdf["sums"]):
         x = np.frombuffer(raw, np.float64)
         total[: len(x)] += x
-    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": words, "score": total / np.maximum(1, words)})
+    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "score": total / np.maximum(1, words), "n_words": words})
     out.loc[nulls, "doc_id"] = pd.NA
     return out
 
@@ -225,24 +270,25 @@ def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """(doc_id, n_words, score) of every row of ``docs``; ``target`` has the ids of the target's documents."""
+    """(doc_id, score, n_words) of every row of ``docs``; ``target`` has the ids of the target's documents."""
     spark = docs.sparkSession
     rows = marked(docs, target)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = "bucket long, gram binary, n binary, t binary"
     words = settle(rows.mapInArrow(_words_counted(wide), counted).groupBy("bucket").applyInPandas(_totals, "gram long, n long, t long"), "words")
-    vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    vocabulary, total, aimed = words.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t"))).first()
     least = max(1, total / HOT)
     often = words.where(F.col("n") >= least).toPandas()  # at most HOT rows
     hot = spark.sparkContext.broadcast(np.sort(often["gram"].to_numpy(np.int64).view(np.uint64)))
     pairs = rows.mapInArrow(_pairs_counted(wide, hot), counted).groupBy("bucket").applyInPandas(_totals, "gram long, n long, t long").where(F.col("n") >= least).toPandas()
-    terms = _Terms(vocabulary, prior)
+    terms = _Terms(vocabulary, prior, total, aimed)
     gram = np.concatenate([often["gram"].to_numpy(np.int64).view(np.uint64) | np.uint64(1), pairs["gram"].to_numpy(np.int64).view(np.uint64) & ~np.uint64(1)])
-    n, t = (np.concatenate([often[k], pairs[k]]).astype(np.float64) for k in ("n", "t"))
-    value = terms((gram & np.uint64(1)).astype(bool), n, t)
+    n, t = (np.concatenate([often[k], pairs[k]]).astype(np.int64) for k in ("n", "t"))
     order = np.argsort(gram)
-    table = spark.sparkContext.broadcast((gram[order], value[order]))
+    by = np.argsort(often["gram"].to_numpy(np.int64).view(np.uint64) | np.uint64(1))
+    frequent = (often["gram"].to_numpy(np.int64).view(np.uint64) | np.uint64(1))[by], often["n"].to_numpy(np.int64)[by]
+    table = spark.sparkContext.broadcast((gram[order], n[order], t[order], *frequent))
     buckets = max(wide, math.ceil(2 * total / BUCKET))
-    moved = rows.mapInArrow(_moved(buckets, table), "bucket long, batch string, docs binary, words binary, low binary, mid binary, at binary, n binary, t binary")
-    partial = moved.groupBy("bucket").applyInPandas(_summed(terms), PARTIAL)
-    return partial.groupBy("batch").applyInPandas(_scored, "doc_id long, n_words long, score double")
+    moved = rows.mapInArrow(_moved(buckets, table, terms), "bucket long, batch string, docs binary, words binary, key binary, at binary, n binary, t binary")
+    partial = moved.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_summed(terms, table), PARTIAL)
+    return partial.groupBy("batch").applyInPandas(_scored, "doc_id long, score double, n_words long")

@@ -249,7 +249,9 @@ def test_the_hash_is_perfect():
 def test_loss_difference(spark):
     rng = random.Random(3)
     rows = [(i, made(rng, rng.randrange(0, 60), 30)) for i in range(120)] + [(i + 200, t) for i, t in ODD if i]
-    target = {i for i in range(0, 120, 3)} | {204}
+    # counts of over 254 in one document, of words rare enough to be sent
+    rows += [(300, "rare tail " * 700), (301, "rare tail again"), (303, " ".join(f"u{k}" for k in range(60_000)))]
+    target = {i for i in range(0, 120, 3)} | {204, 300}
     got = {}
     for r in lm.cross_entropy_difference(table(spark, rows), spark.createDataFrame([(i,) for i in [*target, None, 204]], "doc_id long")).collect():
         got.setdefault(r.doc_id, r)
@@ -260,15 +262,38 @@ def test_loss_difference(spark):
             if on:
                 c.update(w[:-1])
                 p.update(zip(w, w[1:], strict=False))
-    v = len(contexts)
+    n, scale = sum(contexts.values()), sum(t_contexts.values()) / sum(contexts.values())
     for i, w in chains:
-        loss = sum(math.log((pairs[x] + 1 / v) / (contexts[x[0]] + 1)) - math.log((t_pairs[x] + 1 / v) / (t_contexts[x[0]] + 1)) for x in zip(w, w[1:], strict=False))
+        own_c, own_p, on = Counter(w[:-1]), Counter(zip(w, w[1:], strict=False)), i in target
+        loss = 0.0
+        for x in zip(w, w[1:], strict=False):
+            c, p = scale * (contexts[x[0]] - own_c[x[0]]), scale * (pairs[x] - own_p[x])
+            tc, tp = t_contexts[x[0]] - on * own_c[x[0]], t_pairs[x] - on * own_p[x]
+            low = (contexts[x[1]] + 1) / (n + len(contexts))
+            loss += lm.MIX * (math.log((p + low) / (c + 1)) - math.log((tp + low) / (tc + 1)))
+            loss += (1 - lm.MIX) * (math.log(c + 1) - math.log(tc + 1))
         assert got[i].n_words == len(w) - 1 and got[i].score == pytest.approx(loss / max(1, len(w) - 1), abs=1e-9)
     empty = spark.createDataFrame([], "doc_id long")
     assert lm.cross_entropy_difference(table(spark, []), empty).count() == 0
     assert lm.cross_entropy_difference(table(spark, [(None, "a b")]), empty).first().doc_id is None
 
 
+def test_a_target_document_is_scored_as_if_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    good = sorted(i for i, q in labels.items() if q == 1)
+    inside = set(good[::2])
+    target = spark.createDataFrame([(i,) for i in inside], "doc_id long")
+    score = {r.doc_id: r.score for r in lm.cross_entropy_difference(docs, target).collect()}
+    held_in, held_out = ([score[i] for i in good if (i in inside) == on] for on in (True, False))
+    bad = [score[i] for i, q in labels.items() if q == 0]
+    assert abs(np.median(held_in) - np.median(held_out)) < 0.1 * np.std(held_in + held_out) + 0.05
+    auc = lambda low, high: np.mean([(a < b) + (a == b) / 2 for a in low for b in high])
+    print("AUC held in", auc(held_in, bad), "held out", auc(held_out, bad), "medians", np.median(held_in), np.median(held_out), np.median(bad))
+    assert abs(auc(held_in, bad) - auc(held_out, bad)) < 0.05 and auc(held_out, bad) > 0.75
+
+
 def test_marginals_against_all_labelings():
     rng = np.random.default_rng(1)
     lengths = np.array([3, 1, 5, 4])
