@@ -4,9 +4,11 @@ A page is a sequence of tags and pieces of text. Each word scores the log odds o
 and those around it) being main text, each tag a negative score; one linear scan finds the contiguous
 run of the highest sum. The scores are fitted on labelled pages: pages of the table in which the author
 marks the text with exactly one ``article`` or ``main`` element (at most ``most`` of them, the first by a hash of their id),
-together with the counts of ``PRIOR``, which stand for layouts that the table may lack. Inside the run, elements that
-are not part of the text by their name or role are left out, white space in a block becomes one space
-and the blocks are joined by empty lines.
+together with the counts of ``PRIOR`` for the places that those pages lack: a place with ``ENOUGH`` words in them is scored
+by them alone. Inside the run, elements that are not part of the text by their name or role are left out (a
+role is a whole class, id or role value made of role words and such as say where a box stands; headings and paragraphs are never left out by a
+value), white space in a block becomes one space and the blocks are joined by empty lines. Marks cannot tell reader comments inside an
+article from its text, so role words stay a fixed list; words may score below zero as well as tags.
 
 Defined results: null and empty html give an empty text; a page without a positive run (no words, menus only) gives an empty text; unclosed and unknown
 tags, broken references and a page cut off in a tag are read as far as they go; rows with a null id are extracted and not
@@ -30,6 +32,8 @@ from telemark.llm.rows import map_arrow
 from telemark.session import settle
 
 MOST_LEARNED = 2000
+#: Words of a place in marked pages from which it needs no prior.
+ENOUGH = 500
 
 #: Element names of HTML by what they do to a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +41,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav "
     "ol option p pre section summary table tbody tfoot thead tr ul caption".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
 APART = frozenset("nav footer aside form button dialog menu label".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
 #: Role words in class, id and role attributes of elements that are no part of the text.
@@ -46,6 +50,13 @@ ROLES = frozenset(
     "topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
     "comment comments commentlist respond disqus reply replies discussion pagination pager widget widgets form contentinfo complementary copyright tags tagcloud skip disclaimer paywall teaser rail".split()
 )
+#: Words that say where a box stands, beside a role word.
+PLACES = frozenset(
+    "site page main global top bottom left right upper lower header footer primary secondary list lists box bar block blocks section area wrap wrapper container inner outer slot unit item items panel "
+    "group row column col banner body content text title heading link links button btn icon image img inline floating sticky fixed hidden mobile desktop js wp module component zone space region nav the".split()
+)
+#: Elements that no class, id or role value takes out of the text.
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 CARDS = frozenset("ad ads advert advertisement sponsored promo related teaser comment comments reply".split())
 TEXTUAL = frozenset("content article main body text entry post story page container wrapper".split())
 
@@ -57,7 +68,7 @@ PRIOR = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
@@ -81,10 +92,10 @@ def _set_apart(name: str, rest: str, in_text: bool) -> bool:
             return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role"):
+        if key in ("class", "id", "role") and name not in KEPT and not (name == "header" and in_text):
             for word in value.split():
                 parts = [p.lower() for p in _PART.findall(word)]
-                if parts and parts[-1] not in TEXTUAL and (parts[-1] in roles or parts[0] in roles) and not (name == "header" and in_text):
+                if any(p in roles for p in parts) and all(p in roles or p in PLACES for p in parts) and parts[-1] not in TEXTUAL:
                     return True
     return False
 
@@ -193,12 +204,14 @@ class Scores:
 
 
 def scores(counts: dict[str, tuple[int, int]]) -> Scores:
-    """Log odds, with the prior's layouts weighing as much as a tenth of the words counted, at least as they are."""
+    """Log odds; the prior's layouts weigh as much as a tenth of the words counted, at least as they are, and nothing where
+    pages say enough of a place."""
     words = sum(a + b for k, (a, b) in counts.items() if k[0] != "<")
     weight = max(1.0, words / 10 / sum(a + b for a, b in PRIOR.values()))
     place = {}
     for k in {*PRIOR, *(k for k in counts if k[0] != "<")}:
-        (a, b), (c, d) = counts.get(k, (0, 0)), PRIOR.get(k, (1, 1))
+        a, b = counts.get(k, (0, 0))
+        c, d = PRIOR.get(k, (1, 1)) if a + b < ENOUGH else (0, 0)
         place[k] = math.log((a + weight * c + 1) / (b + weight * d + 1))
     tag = {k[1:-1]: -min(4.0, max(0.2, 0.5 - math.log((a + 1) / (b + 1)))) for k, (a, b) in counts.items() if k[0] == "<"}
     return Scores(place, tag)

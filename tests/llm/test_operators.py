@@ -358,6 +358,23 @@ def test_text_is_bounded_by_the_run_and_not_by_an_article():
     assert html.main_text(page.replace("article", "div"), weights) == "\n\n".join(text)
 
 
+def test_headings_and_sections_stay_whatever_they_are_called():
+    body = "Words of the text that is long enough to be taken as the main part of it all."
+    snippets = [
+        "<h2 id='search'>How they search</h2>", "<h2 id='comments-on-the-law'>Comments on the law</h2>", f"<p class='form'>{body}</p>",
+        f"<section id='related-work'><p>{body}</p></section>", f"<div class='notice-period'><p>{body}</p></div>", f"<p>{body} <math><mi>x</mi></math></p>",
+    ]
+    gone = [
+        "<div class='ad'>Buy it now.</div>", "<div class='cookie-banner'><p>Buy it now.</p></div>", "<div id='site-menu'>Buy it now.</div>", "<ul class='comment-list'><li><p>Buy it now.</p></li></ul>",
+        "<section class='comments'><p>Buy it now.</p></section>", "<div class='NewsletterBox'>Buy it now.</div>", "<div role='complementary'>Buy it now.</div>", "<aside>Buy it now.</aside>",
+    ]
+    page = f"<body><nav><a>Home</a></nav><article><h1>Title</h1><p>{body}</p>{''.join(a + b for a, b in zip(snippets, gone, strict=False))}{''.join(gone[6:])}<p>{body}</p></article><footer>foot</footer>"
+    # without marked pages, and with weights of many pages like it
+    for weights in (html.scores({}), html.scores({k: (300 * a, 300 * b) for k, a, b in html._tallied([page])})):
+        want = ["Title", body, "How they search", "Comments on the law", body, body, body, f"{body} x", body]
+        assert html.main_text(page, weights).split("\n\n") == want
+
+
 def test_region_is_the_best_run():
     rng = random.Random(5)
     for _ in range(100):
