@@ -7,8 +7,9 @@ inner product of its rotated residual with a code, divided by the code's scalar,
 error bound gives a lower and an upper limit. Every vector whose lower limit is not above the
 k-th smallest upper limit of its block is measured exactly on the original components; the nearest of all blocks are the answer.
 
-Centroids are fitted on at most ``sample`` vectors (the first by a hash of their id); every vector is indexed. How many centroids a query probes is
-calibrated on the same sample: the fewest that hold ``recall`` of the true neighbours within it. Equal vectors
+Centroids are fitted on at most ``sample`` distinct vectors (the first by a hash of their smallest id); every vector is indexed. How many centroids a query
+probes is calibrated on the same sample: the fewest that hold ``recall`` of the true neighbours of every rank within it. A query whose
+centroids hold fewer than k candidates goes on to all others. Equal vectors
 share one code: of their ids only the k + 1 smallest can be among a query's k nearest, and only those are indexed, which loses nothing.
 
 Defined results: null, zero and non-finite vectors, vectors with null components, and rows with a null id take no part, as queries or candidates; vectors of another
@@ -92,9 +93,9 @@ def fit(sample: np.ndarray, k: int = K, recall: float = RECALL, seed: int = 7) -
     near = np.argsort(apart, axis=1)[:, : min(k, max(0, n - 1))]
     rank = np.argsort(index.assigned(asked, c), axis=1)  # place of each centroid in a query's order
     home = index.assigned(sample, 1)[:, 0]
-    needed = np.sort(np.take_along_axis(rank, home[near], axis=1).ravel())
-    if len(needed):
-        index.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    needed = np.sort(np.take_along_axis(rank, home[near], axis=1), axis=0)
+    if needed.size:
+        index.probes = int(needed[int(np.ceil(recall * len(needed))) - 1].max()) + 1
     return index
 
 
@@ -124,7 +125,8 @@ def _coded(index: Index):
     return work
 
 
-def _probed(index: Index):
+def _probed(index: Index, begin: int, end: int):
+    """Queries at their nearest centroids from place ``begin`` to before ``end``."""
     schema = pa.schema([("cluster", pa.int32()), ("query_id", pa.int64()), ("query", pa.list_(pa.float64()))])
 
     def work(batches):
@@ -132,7 +134,7 @@ def _probed(index: Index):
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            at = index.assigned(x, index.probes)
+            at = index.assigned(x, end)[:, begin:]
             n = at.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(list(np.repeat(x, n, axis=0)), pa.list_(pa.float64()))], schema=schema)
 
@@ -168,13 +170,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
     queries = settle(queries, "queries")
     # the few smallest ids of equal vectors; the limit works before the shuffle too
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = vectors.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n")
-    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["embedding"]
+    kept = settle(vectors.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1), "kept")
+    # copies would crowd out the rest of the sample
+    taken = kept.where("_n = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["embedding"]
     if not len(taken):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(np.stack(taken.to_list()), k, recall)
-    coded = settle(kept.mapInArrow(_coded(index), "cluster int, vec_id long, code binary, length double, factor double, embedding array<double>"), "codes")
-    asked = settle(queries.mapInArrow(_probed(index), "cluster int, query_id long, query array<double>"), "asked")
+    coded = "cluster int, vec_id long, code binary, length double, factor double, embedding array<double>"
+    coded = settle(kept.drop("_n").mapInArrow(_coded(index), coded), "codes")
+    found = settle(_found(index, coded, queries, 0, index.probes, k), "found")
+    most = len(index.centroids)
+    if index.probes < most:
+        # own rows are no candidates
+        enough = min(k, kept.limit(k + 1).count() - 1)
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+        short = settle(queries.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
+        if not short.isEmpty():
+            found = found.unionByName(_found(index, coded, short, index.probes, most, k))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(index: Index, coded: DataFrame, queries: DataFrame, begin: int, end: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the nearest of every block that a query meets."""
+    asked = settle(queries.mapInArrow(_probed(index, begin, end), "cluster int, query_id long, query array<double>"), "asked")
     size = coded.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
     many = asked.groupBy("cluster").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_parts"))
     # one row per centroid
@@ -188,6 +207,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
         .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts", "_blocks")
     )
     key = ["cluster", "_block", "_part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_searched(index, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_searched(index, k), "query_id long, vec_id long, score double")

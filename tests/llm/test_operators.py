@@ -470,6 +470,36 @@ def test_nearest(spark):
     assert ann.nearest(few, few).count() == 6 and ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_recall_beside_a_crowd_of_copies(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(1000, 32))
+    x = (np.repeat(centres, 4, axis=0) + 0.05 * rng.normal(size=(4000, 32))).astype(np.float32)
+    copy = rng.normal(size=32).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, copy.tolist()) for i in range(16_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("query", F.lit(1))
+    got = ann.nearest(df, df.where("vec_id % 100 = 0 and vec_id < 4000")).toPandas()
+    every, ids = np.vstack([x, np.repeat(copy[None], 11, axis=0)]).astype(float), np.r_[np.arange(4000), 10_000 + np.arange(11)]
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((every - every[q]) ** 2).sum(axis=1))
+        near = [int(ids[j]) for j in np.lexsort((ids, d)) if j != q][:10]
+        mine = got[got.query_id == q]
+        assert sorted(mine["rank"]) == list(range(1, 11))
+        hits += len(set(near) & set(mine.vec_id))
+    assert hits >= 0.9 * 400
+
+
+def test_a_query_with_few_candidates_near_goes_on(spark):
+    # lone vectors in cells of their own, which hold fewer than k
+    rng = np.random.default_rng(13)
+    crowd = rng.normal(size=(3000, 8)) * 0.01
+    lone = np.eye(8)[:, None] * np.array([50.0, 51.0])[None, :, None]
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(crowd)] + [(5000 + 100 * i, v.tolist()) for i, v in enumerate(lone.reshape(-1, 8))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id >= 5000")).groupBy("query_id").count().collect()
+    assert len(got) == 16 and all(r["count"] == 10 for r in got)
+
+
 def test_error_bounds_hold_the_distances():
     rng = np.random.default_rng(3)
     x, q = rng.normal(size=(2000, 48)), rng.normal(size=(20, 48))
