@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -149,6 +150,83 @@ def test_large_bucket_is_compared_beyond_its_leaders(spark):
     assert len(passages) == 1 and {a for a, _ in links} <= set().union(*passages.values())
 
 
+def passages(rows, cut):
+    """Windows of 51 words in every stretch between cut lines; equal ones in two places or more, the first place apart."""
+    places = {}
+    for i, text in rows:
+        at, streams = 0, [[]]
+        for k, line in enumerate(text.split("\n")):
+            if (i, k) in cut:
+                streams.append([])
+            else:
+                streams[-1] += [(w, m.start() + at, m.end() + at) for m in re.finditer("[^ \t-\r]+", line) for w in (m[0].encode().lower(),)]
+            at += len(line) + 1
+        base, seen = 0, {}
+        for s in streams:
+            for k in range(len(s) - 50):
+                w = tuple(x[0] for x in s[k : k + 51])
+                last, run = seen.get(w, (-51, base + k))
+                run = run if base + k - last < 51 else base + k
+                seen[w] = (base + k, run)
+                places.setdefault(w, []).append((i, run, base + k, s[k][1], s[k + 50][2]))
+            base += len(s) + 52
+    spans = {}
+    for found in places.values():
+        first = min(p[:2] for p in found)
+        if any(p[:2] != first for p in found):
+            for i, run, at, start, end in found:
+                spans.setdefault((i, (i, run) == first), []).append((at, start, end))
+    out = set()
+    for (i, kept), found in spans.items():
+        found.sort()
+        open_one = None
+        for at, start, end in found:
+            if open_one is None or at - open_one[0] > 51:
+                if open_one:
+                    out.add((i, kept, open_one[1], open_one[2] - open_one[1]))
+                open_one = [at, start, end]
+            else:
+                open_one = [at, min(open_one[1], start), max(open_one[2], end)]
+        out.add((i, kept, open_one[1], open_one[2] - open_one[1]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_lines_and_passages_against_brute_force(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(paragraphs, "HOT", hot)
+    monkeypatch.setattr(paragraphs, "BUCKET", 500)
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text or "") for r in documents.collect()]
+    shared = [made(rng, 70) for _ in range(3)]
+    for k in range(40):
+        parts = rng.choice(shared).split(" ")
+        begin = rng.randrange(0, 15)
+        rows.append((5000 + k, f"{made(rng, rng.randrange(0, 30))} é {' '.join(parts[begin:])} {made(rng, rng.randrange(0, 30))}".replace(" ", "\n" if k % 7 == 0 else " ")))
+    rows += [(6000, "one two " * 200), (6001, "x " + "one two " * 100), (6002, shared[0] + " gap " * 60 + shared[0])]
+    got = paragraphs._repeats(table(spark, rows)).collect()
+    # lines: every pair of like ones
+    sets = {(i, k): shingle_set(line) for i, t in rows for k, line in enumerate(t.split("\n")) if len(words(line)) >= 15}
+    by, links = {}, []
+    for place, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(place)
+    for pair in {p for found in by.values() for p in combinations(sorted(found), 2)}:
+        if alike(sets[pair[0]], sets[pair[1]]):
+            links.append(pair)
+    root = smallest(sets, links)
+    clusters = {}
+    for place, r in root.items():
+        clusters.setdefault(r, set()).add(place)
+    want = {frozenset(c) for c in clusters.values() if len(c) > 1}
+    mine = {}
+    for r in got:
+        if r.whole:
+            mine.setdefault(r.cluster, set()).add((r.doc_id, r.line))
+    assert {frozenset(c) for c in mine.values()} == want and len(want) > 5
+    cut = {p for c in want for p in c if p != min(c)}
+    assert {(r.doc_id, r.kept, r.start, r.length) for r in got if not r.whole} == passages(rows, cut)
+
+
 def test_passages_whatever_the_line_breaks(spark):
     rng = random.Random(12)
     passage, verse, short, common = made(rng, 52), made(rng, 80).split(), made(rng, 50), made(rng, 60)
