@@ -157,11 +157,14 @@ def state_conflicts(packets: DataFrame, state: DataFrame) -> DataFrame:
     stored packet has that number: the state contradicts the permanent records.
 
     A packet that arrives after another one of the load has moved the mark is an
-    ordinary late one. Conflicts are reported, not disposed; the caller leaves them out.
+    ordinary late one; without arrival columns the mark is taken to stand. Conflicts
+    are reported, not disposed; the caller leaves them out.
     """
     s, mark = F.col("sequence_number"), F.col("high_water_sequence")
-    place = F.struct("received_us", "delivery_id")
     met = packets.join(state.select(*SESSION, "high_water_sequence"), SESSION)
+    if not {"received_us", "delivery_id"} <= set(packets.columns):
+        return met.where(s == mark).select(*packets.columns, F.lit(STATE_CONFLICT).alias("state_conflict"))
+    place = F.struct("received_us", "delivery_id")
     moved = met.where(F.pmod(s - mark, F.lit(MODULUS)).between(1, HALF_RANGE - 1)).groupBy(*SESSION).agg(F.min(place).alias("_moved"))
     stands = F.col("_moved").isNull() | (place < F.col("_moved"))
     return (

@@ -44,7 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
         or spark.conf.get(CHECKPOINT_DIR, None)
     )
     if folder is None:
-        if not context.master.startswith("local"):
+        # "local-cluster" has executors of its own, like any cluster
+        if context.master.partition("[")[0] != "local":
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="telemark-checkpoint-")
         context.setCheckpointDir(folder)

@@ -133,6 +133,27 @@ def test_rate_and_absence_streams_equal_batch(spark, tables, tmp_path):
     assert want - starts == set() and len(starts - want) <= 1
 
 
+def test_increase_stream_equals_batch(spark, tables, tmp_path):
+    events = legacy.alerts(tables.health_samples())
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    in_files(events, "created_ns", source, 2)
+    read = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = ledger.increase_stream(read, "created_ns", ["severity"], F.lit(1))
+    sink = lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+    ledger.run_available(stream, sink, str(tmp_path / "ck"))
+    got = {tuple(r) for r in spark.read.parquet(out).drop("batch_id").collect()}
+    minute, want = 60_000_000, {}
+    for r in events.select("created_ns", "severity").collect():
+        at = r.created_ns // 1000
+        for k in range(5):
+            window = ((at // minute - k) * minute, r.severity)
+            want[window] = want.get(window, 0) + 1
+    want = {(start, severity, n) for (start, severity), n in want.items()}
+    # windows at the end stay open until the watermark passes them
+    last = max(start for start, *_ in want)
+    assert got <= want and all(last - start <= 10 * minute for start, *_ in want - got)
+
+
 def test_bulk_loads_equal_one_batch(spark, tables, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     deliveries = tables.deliveries()
