@@ -1,8 +1,8 @@
 """Who a delivery is: request identity, packet identity, final outcome.
 
-Arrival order is ``(received_us, delivery_id)``. The first row of a group is
-found by a partial aggregate; only groups with more than one row are joined
-back to their deliveries.
+Arrival order is ``(received_us, delivery_id)``. Groups are counted by a hash
+aggregate without bytes; the first row of those with more than one is found by a
+partial aggregate and joined back to their deliveries.
 """
 
 from __future__ import annotations
@@ -33,6 +33,16 @@ def first_of_group(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame
     )
 
 
+def repeated_groups(rows: DataFrame, keys: list[str], *carried: str) -> DataFrame:
+    """``first_of_group`` of the keys with more than one row.
+
+    Rows are counted without what they carry; only rows of repeated keys, few as a
+    rule, reach the struct's minimum, so bytes of lone rows are neither sorted nor shuffled here.
+    """
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    return first_of_group(rows.join(repeated.drop("_rows"), keys, "left_semi"), keys, *carried)
+
+
 def request_identity(deliveries: DataFrame) -> DataFrame:
     """Add ``request_state`` NEW / REPLAY / CONFLICT and ``first_delivery_id``.
 
@@ -44,9 +54,7 @@ def request_identity(deliveries: DataFrame) -> DataFrame:
         deliveries, canonical_request_id=wire.canonical_request_id("request_id")
     )
     named = rows.where(F.col("canonical_request_id").isNotNull())
-    repeated = first_of_group(
-        named, ["canonical_request_id"], "raw_body", "content_type"
-    ).where("n > 1")
+    repeated = repeated_groups(named, ["canonical_request_id"], "raw_body", "content_type")
     rows = attach_group_facts(
         rows, repeated, ["canonical_request_id"], row_id="delivery_id"
     )
@@ -124,7 +132,7 @@ def packet_identity(identified: DataFrame) -> DataFrame:
     has its first delivery's bytes, so it takes that delivery's state without
     another join. Rows that never reach acceptance get NULL.
     """
-    repeated = packet_firsts(identified).where("n > 1").select(
+    repeated = repeated_groups(identified.where(is_candidate()), PACKET_KEY, "raw_body").select(
         *(F.col(k).alias(f"_{k}") for k in PACKET_KEY), "n", "fact"
     )
     reaches = (F.col("request_state") != "CONFLICT") & passes_validation()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.functions.wire import whole_div
+from telemark.session import settle
 
 # Table name: time column in micro- or nanoseconds, lookup key.
 STORED = {
@@ -44,21 +45,24 @@ def append_table(df: DataFrame, root: str, name: str) -> None:
 
 def append_new(df: DataFrame, root: str, name: str) -> None:
     """Append rows whose key is not stored yet; a repeated load adds nothing, and
-    of rows that share a key within the load only the earliest is taken.
+    of rows that share a key within the load only the earliest is taken. NULL key
+    parts equal each other, within a load and against what is stored.
 
     A load that fails part way leaves no rows: the write commits as a whole.
     Where the key holds the time, only the stored dates of the load are read.
+    The load is computed once, however many times it is read here.
     """
     time_column, key = STORED[name]
     spark = df.sparkSession
     path = f"{root}/{name}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     order = Window.partitionBy(*key).orderBy(time_column)
-    df = df.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    df = settle(df.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth"), "load")
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         stored = spark.read.parquet(path)
         if time_column in key:
             low, high = df.agg(F.min(_receipt_date(time_column)), F.max(_receipt_date(time_column))).first()
             stored = stored.where(F.col("receipt_date").between(F.lit(low), F.lit(high)))
-        df = df.join(stored.select(*key), list(key), "left_anti")
+        stored = stored.select(*(F.col(k).alias(f"_{k}") for k in key))
+        df = df.join(stored, [df[k].eqNullSafe(stored[f"_{k}"]) for k in key], "left_anti")
     append_table(df, root, name)

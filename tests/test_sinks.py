@@ -35,6 +35,14 @@ def test_key_twice_in_a_load_is_stored_once(spark, tables, tmp_path):
         assert len(stored.inputFiles()) <= days + 4  # shuffle partitions, not tasks times dates
 
 
+def test_null_key_parts_equal_each_other(spark, tables, tmp_path):
+    samples = tables.health_samples().limit(5).withColumn("source", F.lit(None).cast("string"))
+    for _ in range(2):
+        sinks.append_new(samples.unionByName(samples), str(tmp_path), "health_samples")
+    key = list(sinks.STORED["health_samples"][1])
+    assert spark.read.parquet(f"{tmp_path}/health_samples").count() == samples.select(*key).distinct().count()
+
+
 def test_a_later_load_adds_only_what_is_new(spark, tables, tmp_path):
     receipts = identity.receipts(tables.outcome())
     sinks.append_new(receipts.where("receipt_id % 3 = 0"), str(tmp_path), "receipts")
