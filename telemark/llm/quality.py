@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemark.llm.rows import map_arrow
+from telemark.llm.rows import give_back, map_arrow, slices
 from telemark.session import settle
 
 #: Labelled documents to learn from, at most, and their lines; one document may bring a 400th of the lines.
@@ -224,9 +224,9 @@ def good_only(docs: DataFrame, labels: DataFrame, most: int = MOST_LEARNED) -> D
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch):
                 keep = scores(model, part.column(names.index("text")).to_pylist()) >= 0.5
                 yield part.filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -126,4 +126,6 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of whole texts. Arrow batches get as many rows as are handled at once: by default they hold 10,000 texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE))
     return spark.read.parquet(f"{folder}/{table}.parquet")
