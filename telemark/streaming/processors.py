@@ -1,9 +1,10 @@
 """Stateful processors of the delivery stream.
 
-Each keeps one small record per key, forever: the contract has no watermark on
+A group is a hash bucket of keys, so one call serves every key of the bucket that a micro-batch brings: the state is
+asked a few times per bucket instead of several times per key. Each key leaves one small record, forever: the contract has no watermark on
 identity, a late frame is always accepted. Rows of one key and one micro-batch
 are handled in arrival order; across batches, arrival order is batch order.
-Micro-batch size (files or bytes per trigger) bounds the rows of a key per call.
+Micro-batch size (files or bytes per trigger) bounds the rows of a bucket per call.
 """
 
 from __future__ import annotations
@@ -11,118 +12,142 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MODULUS = 1 << 32
 HALF_RANGE = 1 << 31
-# Value of the spread column for rows that share state under their key. Rows
-# that need no state carry one of SPREADS other values there: they spread over
-# all tasks, yet a task handles many of them per call.
-SHARED = -1
-SPREADS = 4096
+# Hash buckets of keys, the groups of the stateful steps.
+BUCKETS = 1024
+# Keys of one stored chunk of a bucket.
+CHUNK_KEYS = 512
+FIRST = "first_"
 
 
-def in_arrival_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r.received_us, r.delivery_id))
+def in_arrival_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    rows = pd.concat(list(frames), ignore_index=True)
+    rows["keyed"] = rows["keyed"].astype(bool)
+    return rows.sort_values(["received_us", "delivery_id"], ignore_index=True)
 
 
-class RequestIdentity(StatefulProcessor):
-    """First body per canonical request id; replay or conflict afterwards."""
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState(
-            "first", "delivery_id bigint, received_us bigint, content_type string, raw_body binary"
-        )
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        shared = key[1] == SHARED
-        owner = self.first.get() if shared else None
-        for r in in_arrival_order(rows):
-            if not shared:
-                state = "NEW"
-            elif owner is None:
-                owner = (r.delivery_id, r.received_us, r.content_type, r.raw_body)
-                self.first.update(owner)
-                state = "NEW"
-            else:
-                state = "REPLAY" if bytes(owner[3]) == bytes(r.raw_body) else "CONFLICT"
-            judged = (r.received_us, r.content_type) if state == "NEW" else (owner[1], owner[2])
-            first_id = r.delivery_id if state == "NEW" else owner[0]
-            yield Row(
-                delivery_id=r.delivery_id, received_us=r.received_us, request_id=r.request_id,
-                content_type=r.content_type, raw_body=r.raw_body,
-                canonical_request_id=r.canonical_request_id, request_state=state,
-                first_delivery_id=first_id, judged_received_us=judged[0],
-                judged_content_type=judged[1],
-            )
+def _unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(blob)).read_pandas()
 
-    def close(self) -> None:
-        pass
 
+class FirstArrival(StatefulProcessor):
+    """Adds the ``carried`` columns of the first arrival of each row's key, as ``first_*``.
 
-class PacketIdentity(StatefulProcessor):
-    """First accepted bytes per packet key; duplicate or conflict afterwards."""
+    Rows have ``keyed`` and ``key_hash``; one that is not keyed stands for itself and leaves no state. A bucket's keys are
+    stored in chunks, their hashes apart from their records: a call reads all hashes of its bucket, eight bytes a key, and
+    only records of chunks where one of its keys may be.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "delivery_id bigint, raw_body binary")
+    def __init__(self, keys: list[str], carried: list[str]) -> None:
+        self.keys, self.carried = keys, carried
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        reaches = key[3] == SHARED
-        first = self.first.get() if reaches else None
-        for r in in_arrival_order(rows):
-            state, origin = None, None
-            if reaches:
-                if first is None:
-                    first = (r.delivery_id, r.raw_body)
-                    self.first.update(first)
-                origin = first[0]
-                if origin == r.first_delivery_id:
-                    state = "PACKET"
-                elif bytes(first[1]) == bytes(r.raw_body):
-                    state = "DUPLICATE"
-                else:
-                    state = "CONFLICT"
-            yield Row(**r.asDict(), packet_state=state, origin_delivery_id=origin)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hashes = handle.getMapState("hashes", "chunk bigint", "hashes binary")
+        self.records = handle.getMapState("records", "chunk bigint", "rows binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        arrived = in_arrival_order(rows)
+        names = {c: f"{FIRST}{c}" for c in self.carried}
+        lone = arrived[~arrived["keyed"]]
+        parts = [lone.assign(**{name: lone[c] for c, name in names.items()})]
+        keyed = arrived[arrived["keyed"]]
+        if len(keyed):
+            owners = self._owners(keyed.drop_duplicates(self.keys)[[*self.keys, "key_hash", *self.carried]])
+            owners = owners[[*self.keys, *self.carried]].rename(columns={c: n for c, n in names.items() if c not in self.keys})
+            parts.append(keyed.merge(owners, on=self.keys, how="left"))
+        for part in parts:
+            if len(part):
+                yield part.drop(columns=["bucket", "keyed", "key_hash"])
+
+    def _owners(self, firsts: pd.DataFrame) -> pd.DataFrame:
+        """Stored records of the keys; the keys that have none are stored with this record."""
+        asked = np.sort(firsts["key_hash"].to_numpy())
+        met, last, size = [], -1, 0
+        for (chunk,), (blob,) in self.hashes.iterator():
+            held = np.frombuffer(bytes(blob), np.int64)
+            at = np.minimum(np.searchsorted(asked, held), len(asked) - 1)
+            if (asked[at] == held).any():
+                met.append(chunk)
+            if chunk > last:
+                last, size = chunk, len(held)
+        if not met:
+            self._store(firsts, last, size)
+            return firsts
+        stored = pd.concat([_unpacked(self.records.getValue((chunk,))[0]) for chunk in met], ignore_index=True)
+        stored = stored.merge(firsts[self.keys], on=self.keys)
+        both = pd.concat([stored, firsts], ignore_index=True)
+        fresh = both[~both.duplicated(self.keys)].iloc[len(stored):]
+        self._store(fresh, last, size)
+        return pd.concat([stored, fresh], ignore_index=True)
+
+    def _store(self, fresh: pd.DataFrame, last: int, size: int) -> None:
+        """The last chunk is filled up before the next one is begun."""
+        if not len(fresh):
+            return
+        if 0 < size < CHUNK_KEYS:
+            fresh = pd.concat([_unpacked(self.records.getValue((last,))[0]), fresh], ignore_index=True)
+        else:
+            last += 1
+        for n, begin in enumerate(range(0, len(fresh), CHUNK_KEYS)):
+            part = fresh.iloc[begin:begin + CHUNK_KEYS]
+            self.hashes.updateValue((last + n,), (part["key_hash"].to_numpy().tobytes(),))
+            self.records.updateValue((last + n,), (_packed(part),))
 
     def close(self) -> None:
         pass
 
 
 class SequenceTracker(StatefulProcessor):
-    """High-water mark and counts per (payload, boot)."""
+    """High-water mark and counts per (payload, boot); ``keyed`` rows are tracked."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState(
-            "mark", "high_water bigint, accepted bigint, missing bigint"
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        tracked = key[2] == SHARED
-        high, accepted, missing = None, 0, 0
-        stored = self.mark.get() if tracked else None
-        if stored is not None:
-            high, accepted, missing = stored
-        changed = False
-        for r in in_arrival_order(rows):
-            disposition, gap = None, None
-            if tracked:
-                s = r.sequence_number
-                distance = None if high is None else (s - high) % MODULUS
-                if distance == 0:
-                    disposition, gap = "SEQUENCE_STATE_CONFLICT", 0
-                elif distance is None:
-                    disposition, gap, high = "FIRST", s, s
-                elif distance < HALF_RANGE:
-                    disposition = "IN_ORDER" if distance == 1 else "GAP"
-                    gap, high = distance - 1, s
-                else:
-                    disposition, gap = "LATE", 0
-                if distance != 0:
-                    accepted, missing, changed = accepted + 1, missing + gap, True
-            yield Row(**r.asDict(), sequence_disposition=disposition, missing_before=gap)
+        self.marks = handle.getValueState("marks", "marks binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        arrived = in_arrival_order(rows)
+        dispositions, gaps = [None] * len(arrived), [None] * len(arrived)
+        marks, changed = None, False
+        tracked = np.flatnonzero(arrived["keyed"].to_numpy())
+        if len(tracked):
+            stored = self.marks.get()
+            held = np.frombuffer(bytes(stored[0]) if stored else b"", np.int64).reshape(-1, 5).tolist()
+            marks = {(payload, boot): mark for payload, boot, *mark in held}
+        columns = (arrived[c].to_numpy()[tracked].tolist() for c in ("payload", "boot", "sequence"))
+        for place, payload, boot, s in zip(tracked.tolist(), *columns, strict=True):
+            high, accepted, missing = marks.get((payload, boot), (None, 0, 0))
+            distance = None if high is None else (s - high) % MODULUS
+            if distance == 0:
+                dispositions[place], gaps[place] = "SEQUENCE_STATE_CONFLICT", 0
+                continue
+            if distance is None:
+                disposition, gap, high = "FIRST", s, s
+            elif distance < HALF_RANGE:
+                disposition = "IN_ORDER" if distance == 1 else "GAP"
+                gap, high = distance - 1, s
+            else:
+                disposition, gap = "LATE", 0
+            dispositions[place], gaps[place] = disposition, gap
+            marks[payload, boot], changed = (high, accepted + 1, missing + gap), True
         if changed:
-            self.mark.update((high, accepted, missing))
+            self.marks.update((np.array([(*session, *mark) for session, mark in marks.items()], np.int64).tobytes(),))
+        yield arrived.drop(columns=["bucket", "keyed", "payload", "boot", "sequence"]).assign(
+            sequence_disposition=pd.Series(dispositions, dtype=object), missing_before=pd.array(gaps, dtype="Int64")
+        )
 
     def close(self) -> None:
         pass
