@@ -53,6 +53,8 @@ FRAME_FIELDS = (
     "operating_mode",
     "fault_flags",
 )
+# What ``decode_frames`` adds.
+DECODED = (*FRAME_FIELDS, "wire_crc", "calculated_crc")
 
 
 def col_of(column: Column | str) -> Column:

@@ -55,18 +55,18 @@ def delivery_events(outcome: DataFrame, disposed: DataFrame | None = None) -> Da
     packet's disposition.
     """
     rows = outcome.where(~F.col("is_replay"))
+    without = {
+        "sequence_disposition": F.lit(None).cast("string"),
+        "missing_before": F.lit(None).cast("bigint"),
+    }
     if disposed is not None:
-        rows = rows.join(
-            disposed.select("delivery_id", "sequence_disposition", "missing_before"),
-            "delivery_id", "left",
-        )
+        # only the acceptance event reads the disposition: rows without one need not meet it
+        accepted = F.coalesce(F.col("packet_state") == "PACKET", F.lit(False))
+        found = disposed.select("delivery_id", "sequence_disposition", "missing_before")
+        met = rows.where(accepted).join(found, "delivery_id", "left")
+        rows = met.unionByName(rows.where(~accepted).withColumns(without))
     else:
-        rows = rows.withColumns(
-            {
-                "sequence_disposition": F.lit(None).cast("string"),
-                "missing_before": F.lit(None).cast("bigint"),
-            }
-        )
+        rows = rows.withColumns(without)
     packet, job = wire.packet_id(*PACKET_KEY), F.concat(F.lit("JOB-"), wire.packet_id(*PACKET_KEY))
     status, reason, state = F.col("validation_status"), F.col("rejection_reason"), F.col("packet_state")
     reused = F.col("request_state") == "CONFLICT"

@@ -138,7 +138,9 @@ def packet_identity(identified: DataFrame) -> DataFrame:
     reaches = (F.col("request_state") != "CONFLICT") & passes_validation()
     keys = [f"_{k}" for k in PACKET_KEY]
     keyed = identified.withColumns({f"_{k}": F.when(reaches, F.col(k)) for k in PACKET_KEY})
-    rows = attach_group_facts(keyed, repeated, keys, row_id="delivery_id")
+    # the fields are in the bytes: they are read again behind the shuffle instead of crossing it
+    rows = attach_group_facts(keyed.drop(*wire.DECODED), repeated, keys, row_id="delivery_id")
+    rows = wire.decode_frames(rows).select(*keyed.columns, "fact")
     first = F.coalesce("fact.delivery_id", "first_delivery_id")
     return wire.compute_once(
         rows,

@@ -15,13 +15,17 @@ COMPARED = (
 
 
 def packets_table(outcome: DataFrame, disposed: DataFrame) -> DataFrame:
-    """The accepted packets with their disposition. Both sides hold one row per
+    """The accepted packets with their disposition. A disposition that carries ``raw_body`` is
+    the table but for decoding; otherwise both sides hold one row per
     delivery id, so the join has no hot key."""
-    accepted = outcome.where(
-        (F.col("request_state") == "NEW") & (F.col("packet_state") == "PACKET")
-    )
-    found = disposed.select("delivery_id", "sequence_disposition", "missing_before")
-    return accepted.join(found, "delivery_id").select(
+    if "raw_body" in disposed.columns:
+        placed = wire.decode_frames(disposed.drop(*PACKET_KEY))
+    else:
+        accepted = outcome.where(
+            (F.col("request_state") == "NEW") & (F.col("packet_state") == "PACKET")
+        )
+        placed = accepted.join(disposed.select("delivery_id", "sequence_disposition", "missing_before"), "delivery_id")
+    return placed.select(
         wire.packet_id(*PACKET_KEY).alias("packet_id"),
         F.col("delivery_id").alias("source_receipt_id"),
         "received_us",

@@ -58,7 +58,7 @@ def _block_carries(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _narrow_disposition(rows: DataFrame, carries: DataFrame) -> DataFrame:
+def _narrow_disposition(rows: DataFrame, carries: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Rows of sessions spanning less than 2^31."""
     block = Window.partitionBy(*SESSION, "block")
     above = block.orderBy(F.col("sequence_number").desc()).rowsBetween(UNBOUNDED, -1)
@@ -83,6 +83,7 @@ def _narrow_disposition(rows: DataFrame, carries: DataFrame) -> DataFrame:
             *KEPT,
             F.when(~F.col("is_late"), F.coalesce("_local", "top_below")).alias("high_water_before"),
             "is_late",
+            *carried,
         )
     )
 
@@ -196,8 +197,9 @@ def sequence_disposition(
     block_rows: int = BLOCK_NUMBERS,
     slices: int | None = None,
     settled: bool = False,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Disposition, missing count and the mark before each accepted packet.
+    """Disposition, missing count and the mark before each accepted packet, and its ``carried`` columns.
 
     ``packets`` holds one row per packet key. It is written once to the shared
     checkpoint folder unless the caller says it already is a written table,
@@ -209,27 +211,32 @@ def sequence_disposition(
     """
     again = None
     if state is None:
-        kept = packets.select(*KEPT)
+        kept = packets.select(*KEPT, *carried)
+    elif carried:
+        raise ValueError("columns are carried without a stored state only")
     else:
         kept, again = _seeded(packets, state)
     if not settled or state is not None:
         kept = settle(kept)
     rows = kept.withColumn("block", block_of("sequence_number", block_rows))
     carries = _block_carries(_blocks(rows))
-    narrow = _narrow_disposition(rows, carries)
+    narrow = _narrow_disposition(rows, carries, carried)
     wide_sessions = carries.where("is_wide").select(*SESSION).distinct()
     late = F.lit(None).cast("bigint").alias("high_water_before"), F.lit(True).alias("is_late")
     if not wide_sessions.isEmpty():
         wide_rows = kept if again is None else kept.unionByName(again)
         wide_rows = wide_rows.join(wide_sessions, SESSION, "left_semi")
-        narrow = narrow.unionByName(_wide_disposition(wide_rows, slices))
+        wide = _wide_disposition(wide_rows, slices)
+        if carried:
+            wide = wide.join(wide_rows.select("delivery_id", *carried), "delivery_id")
+        narrow = narrow.unionByName(wide)
         again = again and again.join(wide_sessions, SESSION, "left_anti")
     if again is not None:
         narrow = narrow.unionByName(again.select(*KEPT, *late))
     if state is not None:
         narrow = narrow.where(F.col("received_us") != SEED_US)
     return narrow.withColumns(_disposition()).select(
-        *KEPT, "sequence_disposition", "missing_before", "high_water_before"
+        *KEPT, "sequence_disposition", "missing_before", "high_water_before", *carried
     )
 
 

@@ -74,7 +74,8 @@ class Tables:
         return self._written(
             "packets",
             lambda: results.packets_table(
-                self.outcome(), sequence.sequence_disposition(self.accepted(), settled=True)
+                self.outcome(),
+                sequence.sequence_disposition(self.accepted(), settled=True, carried=("raw_body",)),
             ),
         )
 

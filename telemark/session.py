@@ -60,5 +60,5 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     lost executor costs a re-read only.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
