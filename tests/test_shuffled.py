@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
