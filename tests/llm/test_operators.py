@@ -74,6 +74,19 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_few_jobs(spark):
+    """A job is a thread and a plan update on the driver: a star that is one already takes no second round."""
+    links = spark.createDataFrame([(7, x) for x in range(100, 500)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("stars", "components of stars")
+    try:
+        found = components(links)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(context.statusTracker().getJobIdsForGroup("stars")) <= 8
+    assert {(r.id, r.component) for r in found.collect()} == {(7, 7), *((x, 7) for x in range(100, 500))}
+
+
 def near(rng, text, share):
     w = text.split(" ")
     for _ in range(int(len(w) * share)):
