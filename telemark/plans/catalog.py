@@ -812,20 +812,26 @@ def _oversize(t):
     )
 
 
+def _by_load(t, arrived, slot):
+    """What arrived, in a folder per load: a load reads its own rows, however many others have landed."""
+    path, placed = t.scratch("arrived"), arrived.withColumn("slot", slot)
+    placed.write.option("compression", "zstd").partitionBy("slot").parquet(path)
+    return t.spark.read.schema(placed.schema).parquet(path)
+
+
 @query
 def ledger_loads(t):
     """Four loads by receipt time, one of them tried again, each published whole:
     the audit history that the ledger holds afterwards."""
     stored = loads.Ledger(t.spark, t.scratch("ledger"))
-    arrived = settle(t.deliveries().unionByName(_oversize(t)), "arrived")
+    edges = [sample.SHIFT_US + (1704067200 + 604800 * k) * 1000000 for k in range(1, 4)]  # weeks of January before the shift
+    arrived = _by_load(t, t.deliveries().unionByName(_oversize(t)), sum((F.col("received_us") >= edge).cast("int") for edge in edges))
 
     def worker(packets):
         work = sample.jobs(packets.withColumnRenamed("source_receipt_id", "delivery_id"))
         attempts = sample.attempts(work)
         return attempts, jobs.job_status(work, attempts)
 
-    edges = [sample.SHIFT_US + (1704067200 + 604800 * k) * 1000000 for k in range(1, 4)]  # weeks of January before the shift
-    slot = sum((F.col("received_us") >= edge).cast("int") for edge in edges)
     for number in (0, 1, 1, 2, 3):
-        stored.load(number, arrived.where(slot == number), worker)
+        stored.load(number, arrived.where(F.col("slot") == number).drop("slot"), worker)
     return stored.table("audit").drop("event_data", "load")

@@ -180,3 +180,20 @@ def test_key_ledger_levels_filters_and_buckets(spark, tmp_path, monkeypatch):
     plan = none._jdf.queryExecution().toString()
     assert none.count() == 0 and ("bucket" in plan)
     assert keys.lookup(spark.createDataFrame([], keys.keys), at).count() == 0
+
+
+def test_the_query_gives_each_load_its_own_files(spark, monkeypatch):
+    from conftest import SMALL
+
+    from telemark.plans.catalog import QUERIES
+
+    read = {}
+
+    def seen(self, number, deliveries, worker=None):
+        assert deliveries.columns == ["delivery_id", "received_us", "request_id", "content_type", "raw_body"]
+        read[number] = {r[0] for r in deliveries.select(F.input_file_name()).collect()}
+
+    monkeypatch.setattr(loads.Ledger, "load", seen)
+    assert QUERIES["ledger_loads"](spark, SMALL).count() == 0
+    assert sorted(read) == [0, 1, 2, 3] and all(read.values())
+    assert len(set.union(*read.values())) == sum(map(len, read.values()))
