@@ -289,7 +289,8 @@ def _selected(grams: np.ndarray) -> np.ndarray:
 
 
 def _winnowed(ids, versions, texts):
-    """Every place of a gram that some window of its text selects."""
+    """The grams that windows of a text select, each once a text with the number ``n`` of its places there: a text that goes
+    on repeating a few words selects one gram at every turn."""
     found, sizes, which = [], [], []
     for k, text in enumerate(texts):
         split = words(text)
@@ -304,9 +305,14 @@ def _winnowed(ids, versions, texts):
     chosen = np.where(text[: 1 - PASSAGE] == text[PASSAGE - 1 :], _selected(grams), np.uint64(0))
     room = np.zeros(PASSAGE - GRAM, np.uint64)
     at = np.flatnonzero(_slid(np.r_[room, chosen, room], PASSAGE - GRAM + 1, np.maximum) == grams)
-    text = text[at]
-    columns = [np.array(ids, np.int64)[text], np.array(versions, np.int64)[text], grams[at].view(np.int64)]
-    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["doc_id", "version", "gram"])
+    text, gram = text[at], grams[at]
+    order = np.lexsort((gram, text))
+    text, gram = text[order], gram[order]
+    first = np.flatnonzero(_changes(text, gram))
+    n = np.diff(np.r_[first, len(text)]).astype(np.int32)
+    text = text[first]
+    columns = [np.array(ids, np.int64)[text], np.array(versions, np.int64)[text], gram[first].view(np.int64), n]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["doc_id", "version", "gram", "n"])
 
 
 class _Stream:
@@ -505,11 +511,11 @@ def _spans_of(left: pa.Table, right: pa.Table) -> pa.Table:
 def _passages(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     """One row per passage that stands in two places or more, outside the lines of ``cuts`` (doc_id, version, lines)."""
     key = ["doc_id", "version"]
-    grams = settle(map_arrow(texts, _winnowed, "doc_id long, version long, gram long"), "grams")
-    shared = settle(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    grams = settle(map_arrow(texts, _winnowed, "doc_id long, version long, gram long, n int"), "grams")
+    shared = settle(grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1"), "shared")
     hot = F.when(F.col("n") > HOT, F.struct("gram", F.ceil(F.col("n") / HOT).alias("parts")))
     asked = settle(
-        grams.join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams"), F.collect_set(hot).alias("hot")).join(cuts, key, "left"), "asked"
+        grams.drop("n").join(shared, "gram").groupBy(*key).agg(F.collect_set("gram").alias("grams"), F.collect_set(hot).alias("hot")).join(cuts, key, "left"), "asked"
     )
     need = settle(asked.select("doc_id").distinct(), "need")
     rows = only(texts, need).join(asked, key).select(*key, "text", "lines", "grams", "hot")

@@ -262,6 +262,32 @@ def test_passages_whatever_the_line_breaks(spark):
     assert left[7].text.count(common) == 1 and not any(common in left[k].text for k in range(10, 40))
 
 
+def test_a_gram_is_written_once_a_document(spark, monkeypatch):
+    rng = random.Random(13)
+    common, size = made(rng, 60), paragraphs.PASSAGE - paragraphs.GRAM + 1
+    rows = [(k, f"{made(rng, 5)} " + "x y " * 300 + made(rng, 5)) for k in range(20)]
+    rows += [(20, "x y " * 40), (21, f"{common} {made(rng, 90)} {common}"), (22, f"{made(rng, 30)} {common}"), (23, made(rng, 80)), (24, "x y"), (25, "")]
+    places = {}
+    for i, text in rows:
+        grams = paragraphs._windows(paragraphs._hashed(words(text)), paragraphs.GRAM).view(np.int64)
+        unsigned = grams.view(np.uint64)
+        least = [unsigned[k : k + size].min() for k in range(len(grams) - size + 1)]
+        for k, g in enumerate(unsigned):
+            if g in least[max(0, k - size + 1) : k + 1]:
+                places[i, int(grams[k])] = places.get((i, int(grams[k])), 0) + 1
+    written, settle = {}, paragraphs.settle
+    monkeypatch.setattr(paragraphs, "settle", lambda df, label="settled": written.setdefault(label, settle(df, label)))
+    cuts = spark.createDataFrame([], "doc_id long, version long, lines array<int>")
+    found = paragraphs._passages(table(spark, rows).select("doc_id", F.xxhash64("text").alias("version"), "text"), cuts).collect()
+    assert {(r.doc_id, r.kept, r.start, r.length) for r in found} == passages(rows, set())
+    # the join with the shared grams makes a row for each of these at most
+    assert sorted((r.doc_id, r.gram) for r in written["grams"].collect()) == sorted(places) and sum(places.values()) > 20 * len(places)
+    total = {}
+    for (_, gram), n in places.items():
+        total[gram] = total.get(gram, 0) + n
+    assert {r.gram: r.n for r in written["shared"].collect()} == {g: n for g, n in total.items() if n > 1}
+
+
 def test_overlaps_across_slabs():
     rng = np.random.default_rng(3)
     x, y = ([np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 9_000, 300), (12_000, 40)))
