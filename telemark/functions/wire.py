@@ -101,18 +101,21 @@ def two_digits(value: Column) -> Column:
     return F.when(value.between(0, 99), F.lpad(value.cast("string"), 2, "0"))
 
 
-def _read_words(df: DataFrame, raw: str) -> DataFrame:
+def _words(raw: str) -> dict[str, Column]:
     whole = F.when(F.length(raw) == FRAME_SIZE, F.col(raw))
-    return compute_once(
-        df,
-        _w0=unsigned(whole, 0, 7),
-        _w1=unsigned(whole, 7, 7),
-        _w2=unsigned(whole, 14, 7),
-        _w3=unsigned(whole, 21, 7),
-        calculated_crc=frame_crc(whole),
-        _size=F.coalesce(F.length(raw), F.lit(0)),
-        _version=F.hex(F.substring(raw, 1, 1)),
-    )
+    return {
+        "_w0": unsigned(whole, 0, 7),
+        "_w1": unsigned(whole, 7, 7),
+        "_w2": unsigned(whole, 14, 7),
+        "_w3": unsigned(whole, 21, 7),
+        "calculated_crc": frame_crc(whole),
+        "_size": F.coalesce(F.length(raw), F.lit(0)),
+        "_version": F.hex(F.substring(raw, 1, 1)),
+    }
+
+
+def _read_words(df: DataFrame, raw: str) -> DataFrame:
+    return compute_once(df, **_words(raw))
 
 
 def _fields_of_words() -> dict[str, Column]:
@@ -148,15 +151,17 @@ def frame_crc(raw: Column | str) -> Column:
     return F.crc32(F.substring(col_of(raw), 1, BODY_SIZE))
 
 
-def decode_frames(df: DataFrame, raw: str = "raw_body") -> DataFrame:
+def decode_frames(df: DataFrame, raw: str = "raw_body", if_read: bool = False) -> DataFrame:
     """Add the nine wire fields, ``wire_crc`` and ``calculated_crc``; all NULL
-    unless the frame is 28 bytes long.
+    unless the frame is 28 bytes long. With ``if_read`` nothing is decoded for a
+    reader of other columns only, and a filter on the fields decodes anew.
 
     ``timestamp_us`` carries the unsigned 64-bit wire value in a bigint, so a
     value of 2^63 or more reads negative; ``wire_timestamp`` gives its exact
     unsigned decimal.
     """
-    return _read_words(df, raw).withColumns(_fields_of_words()).drop(*_SCRATCH)
+    words = df.withColumns(_words(raw)) if if_read else _read_words(df, raw)
+    return words.withColumns(_fields_of_words()).drop(*_SCRATCH)
 
 
 def encode(df: DataFrame, out: str = "raw_body") -> DataFrame:

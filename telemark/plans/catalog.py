@@ -785,7 +785,7 @@ def delivery_stream(t):
         batch.select(*columns).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
     source = arrivals.read_stream(t.spark, t.arrivals(), f"{out}/checkpoint", 8)
-    arrivals.run_caught_up(ledger.delivery_stream(source), sink, f"{out}/checkpoint")
+    arrivals.run_caught_up(ledger.delivery_stream(source), sink, f"{out}/checkpoint", ledger.state_partitions(t.spark))
     return t.spark.read.parquet(f"{out}/rows").select(*columns)
 
 

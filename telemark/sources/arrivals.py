@@ -28,6 +28,7 @@ ORDER = ("received_us", "delivery_id")
 #: Rows of a step; with the steps of a trigger it bounds what one key has in a micro-batch.
 STEP_ROWS = 100_000
 FORMAT = "telemark_arrivals"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def land(deliveries: DataFrame, root: str, load: int, step_rows: int = STEP_ROWS) -> bool:
@@ -52,9 +53,19 @@ def read_stream(spark: SparkSession, root: str, checkpoint: str, steps_per_trigg
     return reader.load()
 
 
-def run_caught_up(stream: DataFrame, sink, checkpoint: str) -> None:
-    """Process what has landed, trigger by trigger, then stop; a later call continues from there."""
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+def run_caught_up(stream: DataFrame, sink, checkpoint: str, partitions: int | None = None) -> None:
+    """Process what has landed, trigger by trigger, then stop; a later call continues from there.
+
+    The query has ``partitions`` shuffle partitions, the session's if left out. A checkpoint with state keeps those it began with."""
+    conf = stream.sparkSession.conf
+    before = conf.get(SHUFFLE_PARTITIONS)
+    if partitions:
+        conf.set(SHUFFLE_PARTITIONS, partitions)
+    try:
+        # a query runs in a copy of its session, made here
+        query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+    finally:
+        conf.set(SHUFFLE_PARTITIONS, before)
     try:
         query.processAllAvailable()
     finally:
