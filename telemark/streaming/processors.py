@@ -26,13 +26,36 @@ HALF_RANGE = 1 << 31
 # Hash buckets of keys, the groups of the stateful steps. A checkpoint is bound to their number.
 BUCKETS = 256
 # Keys of one stored chunk of a bucket.
-CHUNK_KEYS = 512
-# Bytes of rows that are packed, and of a packed table, some.
+CHUNK_KEYS = 1024
+# Bytes of rows that are packed at a time, and of a packed table that leaves a step, some.
 PACK_BYTES = 16 << 20
 FIRST, EQUAL = "first_", "equal_"
 STORED = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
+def _label(hashed: int) -> int:
+    """The int whose hash in Spark (Murmur3, seed 42) is ``hashed``."""
+    word = (1 << 32) - 1
+
+    def divided(h: int, factor: int) -> int:
+        return h * pow(factor, -1, 1 << 32) & word
+
+    def turned(h: int, places: int) -> int:
+        return (h >> places | h << 32 - places) & word
+
+    h = hashed & word
+    h = divided(h ^ h >> 16, 0xC2B2AE35)
+    h = divided(h ^ h >> 13 ^ h >> 26, 0x85EBCA6B)
+    h = divided((h ^ h >> 16 ^ 4) - 0xE6546B64, 5)
+    h = divided(turned(h, 13) ^ 42, 0x1B873593)
+    h = divided(turned(h, 15), 0xCC9E2D51)
+    return h - (h >> 31 << 32)
+
+
+# Group keys of the buckets: Spark deals bucket ``n`` to partition ``n`` modulo their number, so none has many more than another.
+LABELS = np.array([_label(n) for n in range(BUCKETS)], np.int32)
+
+
 def _packed(rows: pa.Table, options: pa.ipc.IpcWriteOptions | None = None) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, rows.schema, options=options) as writer:
@@ -45,7 +68,7 @@ def _unpacked(blob: bytes) -> pa.Table:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their ``bucket`` as one row per bucket, ``packed``, for every ``PACK_BYTES`` or so of them."""
+    """Rows with their ``bucket`` as one row per bucket, its label and ``packed``, for every ``PACK_BYTES`` or so of them."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -65,7 +88,7 @@ def _dealt(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = rows.drop_columns("bucket")
     ends = [*begins[1:].tolist(), len(order)]
     packed = [_packed(rows.slice(begin, end - begin)) for begin, end in zip(begins.tolist(), ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(LABELS[buckets]), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,11 +6,12 @@ from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 from test_processors import Handle
 
 from telemark.plans.catalog import QUERIES
 from telemark.streaming import ledger, processors
-from telemark.streaming.processors import CHUNK_KEYS, FirstArrival, Packed, pack, unpack
+from telemark.streaming.processors import BUCKETS, CHUNK_KEYS, LABELS, FirstArrival, Packed, pack, unpack
 
 BIG = 1 << 60  # a double does not hold the next number
 
@@ -27,7 +28,7 @@ def test_packing_keeps_every_row(monkeypatch):
     ]
     want = [{c: row[c] for c in ("n", "text", "body")} for row in sorted(rows, key=lambda row: row["bucket"])]
     packed = list(pack(iter(batches(rows, 90))))
-    assert [b.num_rows for b in packed] == [5] and packed[0]["bucket"].to_pylist() == [0, 1, 2, 3, 4]
+    assert [b.num_rows for b in packed] == [5] and packed[0]["bucket"].to_pylist() == LABELS[:5].tolist()
     assert [row for b in unpack(iter(packed)) for row in b.to_pylist()] == want
     # bytes that are held are bounded
     monkeypatch.setattr(processors, "PACK_BYTES", 3000)
@@ -37,6 +38,13 @@ def test_packing_keeps_every_row(monkeypatch):
     assert list(pack(iter([]))) == []
 
 
+def test_buckets_are_dealt_evenly(spark):
+    labels = spark.createDataFrame([(n, label) for n, label in enumerate(LABELS.tolist())], "n int, label int")
+    assert labels.where(F.hash("label") != F.col("n")).count() == 0 and labels.count() == BUCKETS
+    sizes = labels.repartition(12, "label").groupBy(F.spark_partition_id()).count()
+    assert {r["count"] for r in sizes.collect()} == {21, 22}
+
+
 def judged(step, rows):
     """Rows in several packed tables of one bucket, as frames of Spark's."""
     kinds = {"note": pa.string(), "body": pa.binary(), "bucket": pa.int32(), "keyed": pa.bool_()}
